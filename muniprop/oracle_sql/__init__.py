@@ -1,27 +1,5 @@
 """DuckDB oracle SQL per registered query (same fixture SQL, independent formulation)."""
 
-from muniprop.oracle_sql import reports
+from muniprop.oracle_sql import pipeline, reports, scalars, sources
 
-ORACLES: dict[str, str] = {}
-ORACLES.update(reports.SQL)
-
-try:  # later modules register themselves here
-    from muniprop.oracle_sql import pipeline as _pipeline
-
-    ORACLES.update(_pipeline.SQL)
-except ImportError:  # pragma: no cover
-    pass
-
-try:
-    from muniprop.oracle_sql import scalars as _scalars
-
-    ORACLES.update(_scalars.SQL)
-except ImportError:  # pragma: no cover
-    pass
-
-try:
-    from muniprop.oracle_sql import sources as _sources
-
-    ORACLES.update(_sources.SQL)
-except ImportError:  # pragma: no cover
-    pass
+ORACLES: dict[str, str] = {**reports.SQL, **pipeline.SQL, **scalars.SQL, **sources.SQL}

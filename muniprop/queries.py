@@ -107,3 +107,9 @@ def k26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k25(spark, sf_dir)
+
+
+# Pipeline, scalar, source and SQL-API queries live in their own modules.
+from muniprop import queries_pipeline as _qp  # noqa: E402,F401
+from muniprop import queries_scalars as _qs  # noqa: E402,F401
+from muniprop import queries_sources as _qsrc  # noqa: E402,F401
