@@ -50,10 +50,7 @@ def underwriting_package(props: DataFrame) -> DataFrame:
         R._nest(R.tenant_top(props), "tenant_top_rows", ["address_label", "antall_underenheter", "total_bruksareal"]),
         R._nest(fields.withColumnRenamed("field_order", "rank"), "quality_fields", ["field", "present_count", "missing_count", "completeness_percent"]),
     ]
-    out = sections[0]
-    for s in sections[1:]:
-        out = out.join(s, KEY, "left")
-    return out
+    return R.merge_on_key(sections)
 
 
 def _size(c: str):
@@ -125,4 +122,4 @@ def insights_package(props: DataFrame, limit: int = 30) -> DataFrame:
         KEY,
         F.struct("occupancy_category", "total_bruksareal", "building_count").alias("largest_occupancy"),
     )
-    return dist.join(largest, KEY, "left").join(underwriting_package(props), KEY, "left")
+    return R.merge_on_key([dist, largest, underwriting_package(props)])

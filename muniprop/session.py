@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale. AQE re-plans joins and partition counts at runtime and
 # splits skewed join partitions (one municipality can hold a third of all rows).
@@ -16,6 +17,9 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # The ownership and enrichment expressions are large CASE/higher-order trees; inferring
+    # constraints over them costs seconds per (re-)optimisation and prunes nothing here.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -52,3 +56,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A table location under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing a parquet table in the shared checkpoint folder and reading it back.
+
+    Used where a plan forks (the branches would otherwise recompute everything upstream) and
+    as a recovery point: a lost executor costs the work since the last written table only.
+    (``DataFrame.checkpoint`` would compute the plan twice: once to count, once to write.)
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
