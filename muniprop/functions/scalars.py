@@ -19,6 +19,7 @@ from muniprop.functions import dims
 ADDRESS_MISSING_MARKERS = ("", "-", "nan", "<na>")
 LABEL_MISSING_MARKERS = ("", "-", "nan", "<na>", "none", "null")
 MAPS_SEARCH_PREFIX = "https://www.google.com/maps/search/?api=1&query="
+_PREFIX_RE = MAPS_SEARCH_PREFIX.replace(".", "\\.").replace("?", "\\?")
 PROBLEM_STATUS_TOKENS = ("riving", "brenning", "kondemn", "ikke godkjent")
 UNKNOWN_KOMMUNE_LABEL = "Ukjent Kommune"
 MISSING = "MISSING"
@@ -32,9 +33,12 @@ def col(c: Column | str) -> Column:
 # ---------------------------------------------------------------- generic text helpers
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def trim_ws(c: Column | str) -> Column:
     """Strip leading/trailing whitespace of any kind (``trim`` only strips spaces)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def collapse_ws(c: Column | str) -> Column:
@@ -117,7 +121,8 @@ def missing_label(c: Column | str) -> Column:
 
 def split_list(c: Column | str) -> Column:
     """split on ';' or ',', strip parts, drop empty parts; missing -> empty array."""
-    parts = F.transform(F.split(trim_ws(col(c)), "[;,]"), lambda x: trim_ws(x))
+    # the separator pattern absorbs the whitespace around it, so parts come out stripped
+    parts = F.split(trim_ws(col(c)), r"[ \t\n\x0B\f\r]*[;,][ \t\n\x0B\f\r]*")
     return F.when(list_value_missing(c), F.array().cast("array<string>")).otherwise(
         F.filter(parts, lambda x: x != "")
     )
@@ -318,9 +323,10 @@ def percent_encode(c: Column | str) -> Column:
 
 
 def _maps_url(parts: list[Column]) -> Column:
-    """Join non-empty parts by spaces; '' when there is no part."""
-    query = F.concat_ws(" ", *[F.when(p != "", p) for p in parts])
-    return F.when(query == "", F.lit("")).otherwise(F.concat(F.lit(MAPS_SEARCH_PREFIX), percent_encode(query)))
+    """Join non-empty parts by spaces; '' when there is no part (each part evaluated once)."""
+    joined = F.array_join(F.filter(F.array(*parts), lambda p: p != ""), " ")
+    url = F.concat(F.lit(MAPS_SEARCH_PREFIX), percent_encode(joined))
+    return F.regexp_replace(url, "^" + _PREFIX_RE + "$", "")  # bare prefix: no parts
 
 
 def _norm_str(c: Column | str) -> Column:

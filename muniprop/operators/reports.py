@@ -82,10 +82,50 @@ def _key_total(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(KEY)))
 
 
+# ---------------------------------------------------------------- grouped facts (one scan)
+
+# dimension -> value expression; a municipality's rows are counted once per dimension.
+def _dimensions() -> dict[str, Column]:
+    return {
+        "occupancy_category": F.when(category_present(), F.col("forenklet_bygningskategori")),
+        "tek_standard": F.coalesce(F.col("tek_standard"), F.lit(MISSING)),
+        "age_band": age_band("tek_standard"),
+        "bygningsstatus": F.coalesce(F.col("bygningsstatus"), F.lit(MISSING)),
+        "kommune": F.col("kommune"),
+    }
+
+
+def grouped_facts(props: DataFrame) -> DataFrame:
+    """Counts and areas per (municipality, value) for every grouped report, in ONE scan.
+
+    ``GROUPING SETS ((key, category), (key, standard), (key, band), (key, status),
+    (key, label))``: one Expand + one partial/final aggregation replaces five separate
+    scans and shuffles. Rows of the category set with no category (P02) are dropped.
+    """
+    dims = _dimensions()
+    p = with_key(props).select(KEY, area().alias("_area"), *[v.alias(k) for k, v in dims.items()])
+    sets = [[KEY, d] for d in dims]
+    g = p.groupingSets(sets, KEY, *dims).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("_area").alias("area"),
+        *[F.grouping(d).alias(f"_g_{d}") for d in dims],
+    )
+    return g
+
+
+def _facts_for(facts: DataFrame, dim: str, count_name: str) -> DataFrame:
+    out = facts.where(F.col(f"_g_{dim}") == 0).select(
+        KEY, F.col(dim), F.col("n").alias(count_name), F.col("area").alias("total_bruksareal")
+    )
+    return out.where(F.col(dim).isNotNull()) if dim == "occupancy_category" else out
+
+
 # ---------------------------------------------------------------- K01 / K02 occupancy
 
 
-def _occupancy_groups(props: DataFrame) -> DataFrame:
+def _occupancy_groups(props: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    if facts is not None:
+        return _facts_for(facts, "occupancy_category", "building_count")
     return (
         with_key(props)
         .where(category_present())
@@ -185,13 +225,16 @@ def selected_totals(props: DataFrame, metrics: DataFrame | None = None) -> DataF
     )
 
 
-def by_kommune(props: DataFrame, cap: int = 200) -> DataFrame:
+def by_kommune(props: DataFrame, cap: int = 200, facts: DataFrame | None = None) -> DataFrame:
     """Raw labels of each municipality with shares of the whole portfolio."""
-    g = (
-        with_key(props)
-        .groupBy(KEY, "kommune")
-        .agg(F.count(F.lit(1)).alias("property_count"), F.sum(area()).alias("total_bruksareal"))
-    )
+    if facts is not None:
+        g = _facts_for(facts, "kommune", "property_count")
+    else:
+        g = (
+            with_key(props)
+            .groupBy(KEY, "kommune")
+            .agg(F.count(F.lit(1)).alias("property_count"), F.sum(area()).alias("total_bruksareal"))
+        )
     everything = Window.partitionBy()  # over (municipality, label) rows only
     g = g.withColumn("_pc", F.sum("property_count").over(everything)).withColumn(
         "_pa", F.sum("total_bruksareal").over(everything)
@@ -273,13 +316,15 @@ def merge_on_key(frames: list[DataFrame]) -> DataFrame:
     return stacked.groupBy(KEY).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
-def exposure_dashboard(props: DataFrame, top_n: int = 10, metrics: DataFrame | None = None) -> DataFrame:
+def exposure_dashboard(
+    props: DataFrame, top_n: int = 10, metrics: DataFrame | None = None, facts: DataFrame | None = None
+) -> DataFrame:
     """K04 + K06 scalars, K05 and K07 lists, one row per municipality."""
     m = metrics if metrics is not None else key_metrics(props)
     sel = selected_totals(props, m)
     conc = concentration(props, m)
     labels = _nest(
-        by_kommune(props),
+        by_kommune(props, facts=facts),
         "by_kommune",
         ["kommune", "property_count", "total_bruksareal", "property_share_percent", "area_share_percent", "is_selected"],
     )
@@ -294,10 +339,10 @@ def exposure_dashboard(props: DataFrame, top_n: int = 10, metrics: DataFrame | N
 # ---------------------------------------------------------------- K09 .. K11 occupancy mix
 
 
-def occupancy_mix(props: DataFrame, limit: int = 30) -> DataFrame:
+def occupancy_mix(props: DataFrame, limit: int = 30, facts: DataFrame | None = None) -> DataFrame:
     """Categories with count and area shares, largest area first."""
     limit = validate_limit(limit)
-    g = _key_total(_occupancy_groups(props), "building_count", "_all_count")
+    g = _key_total(_occupancy_groups(props, facts), "building_count", "_all_count")
     g = _key_total(g, "total_bruksareal", "_all_area")
     g = g.withColumn("count_share_percent", pct("building_count", "_all_count")).withColumn(
         "area_share_percent", pct("total_bruksareal", "_all_area")
@@ -321,13 +366,16 @@ def top_by_count(mix: DataFrame, n: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- K12 / K13 age and standard
 
 
-def tek_distribution(props: DataFrame, cap: int = 200) -> DataFrame:
+def tek_distribution(props: DataFrame, cap: int = 200, facts: DataFrame | None = None) -> DataFrame:
     """Building-regulation mix ('MISSING' for null)."""
-    g = (
-        with_key(props)
-        .groupBy(KEY, F.coalesce(F.col("tek_standard"), F.lit(MISSING)).alias("tek_standard"))
-        .agg(F.count(F.lit(1)).alias("property_count"), F.sum(area()).alias("total_bruksareal"))
-    )
+    if facts is not None:
+        g = _facts_for(facts, "tek_standard", "property_count")
+    else:
+        g = (
+            with_key(props)
+            .groupBy(KEY, F.coalesce(F.col("tek_standard"), F.lit(MISSING)).alias("tek_standard"))
+            .agg(F.count(F.lit(1)).alias("property_count"), F.sum(area()).alias("total_bruksareal"))
+        )
     g = _key_total(_key_total(g, "property_count", "_c"), "total_bruksareal", "_a")
     g = g.withColumn("property_share_percent", pct("property_count", "_c")).withColumn(
         "area_share_percent", pct("total_bruksareal", "_a")
@@ -337,13 +385,16 @@ def tek_distribution(props: DataFrame, cap: int = 200) -> DataFrame:
     )
 
 
-def age_bands(props: DataFrame) -> DataFrame:
+def age_bands(props: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Age bands from the regulation, in fixed band order."""
-    g = (
-        with_key(props)
-        .groupBy(KEY, age_band("tek_standard").alias("age_band"))
-        .agg(F.count(F.lit(1)).alias("property_count"), F.sum(area()).alias("total_bruksareal"))
-    )
+    if facts is not None:
+        g = _facts_for(facts, "age_band", "property_count")
+    else:
+        g = (
+            with_key(props)
+            .groupBy(KEY, age_band("tek_standard").alias("age_band"))
+            .agg(F.count(F.lit(1)).alias("property_count"), F.sum(area()).alias("total_bruksareal"))
+        )
     g = _key_total(g, "total_bruksareal", "_a")
     return g.select(
         KEY,
@@ -358,13 +409,16 @@ def age_bands(props: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- K14 .. K17 status and large risks
 
 
-def status_distribution(props: DataFrame, cap: int = 100) -> DataFrame:
+def status_distribution(props: DataFrame, cap: int = 100, facts: DataFrame | None = None) -> DataFrame:
     """Building-status mix ('MISSING' for null)."""
-    g = (
-        with_key(props)
-        .groupBy(KEY, F.coalesce(F.col("bygningsstatus"), F.lit(MISSING)).alias("bygningsstatus"))
-        .agg(F.count(F.lit(1)).alias("property_count"), F.sum(area()).alias("total_bruksareal"))
-    )
+    if facts is not None:
+        g = _facts_for(facts, "bygningsstatus", "property_count")
+    else:
+        g = (
+            with_key(props)
+            .groupBy(KEY, F.coalesce(F.col("bygningsstatus"), F.lit(MISSING)).alias("bygningsstatus"))
+            .agg(F.count(F.lit(1)).alias("property_count"), F.sum(area()).alias("total_bruksareal"))
+        )
     g = _key_total(_key_total(g, "property_count", "_c"), "total_bruksareal", "_a")
     g = g.withColumn("property_share_percent", pct("property_count", "_c")).withColumn(
         "area_share_percent", pct("total_bruksareal", "_a")

@@ -21,12 +21,13 @@ def underwriting_package(props: DataFrame) -> DataFrame:
     data quality - all sections for every municipality."""
     props = R.with_key(props)
     m = R.key_metrics(props)
-    mix = R.occupancy_mix(props, 30)
-    status = R.status_distribution(props)
+    facts = R.grouped_facts(props)  # one scan for every grouped section
+    mix = R.occupancy_mix(props, 30, facts)
+    status = R.status_distribution(props, facts=facts)
     fields = R.quality_fields(props, m)
 
     sections = [
-        R.exposure_dashboard(props, 10, m),
+        R.exposure_dashboard(props, 10, m, facts),
         R.heritage_summary(props, 50, m),
         R.tenant_summary(props, m).drop("total_properties"),
         R.quality_score(props, m),
@@ -36,9 +37,9 @@ def underwriting_package(props: DataFrame) -> DataFrame:
             "top_categories_by_count",
             ["occupancy_category", "building_count", "total_bruksareal"],
         ),
-        R._nest(R.tek_distribution(props), "tek_distribution", ["tek_standard", "property_count", "total_bruksareal", "property_share_percent", "area_share_percent"]),
+        R._nest(R.tek_distribution(props, facts=facts), "tek_distribution", ["tek_standard", "property_count", "total_bruksareal", "property_share_percent", "area_share_percent"]),
         R._nest(
-            R.age_bands(props).withColumnRenamed("band_order", "rank"),
+            R.age_bands(props, facts).withColumnRenamed("band_order", "rank"),
             "age_band_distribution",
             ["age_band", "property_count", "total_bruksareal", "area_share_percent"],
         ),
