@@ -70,3 +70,27 @@ def test_fingerprint_order_insensitive_and_duplicate_sensitive(spark, sf_dir):
     c = H.fingerprint(cust.unionByName(cust.limit(1))).first()
     assert a == b
     assert a["fingerprint"] != c["fingerprint"]
+
+
+def test_enriched_for_kommune_and_pending(spark, sf_dir):
+    from muniprop.queries_sources import files
+    from muniprop.sources.manifest import pending_sources
+
+    raw = fx.fx_raw(spark, sf_dir)
+    frame, stats = PL.enriched_for_kommune(raw, files(spark, sf_dir), "NATION 3")
+    assert frame is not None and frame.select("source").distinct().count() == 1
+    st = stats.first()
+    assert st["total_rows"] - st["excluded_status_rows"] == frame.count()
+    assert PL.enriched_for_kommune(raw, files(spark, sf_dir), "Nowhere") == (None, None)
+    done = raw.select("source").where(F.col("source").contains("NATION_3_"))
+    pending = pending_sources(files(spark, sf_dir), done)
+    assert pending.where(F.col("source") == "kartverket:1003_NATION_3_Properties.xlsx").count() == 0
+    assert pending.where(F.col("source").contains("1004_NATION_4_")).count() == 1
+
+
+def test_for_kommune_prunes_by_key(spark, sf_dir):
+    from muniprop.operators import reports as R
+
+    props = fx.fx_props(spark, sf_dir)
+    one = R.for_kommune(props, "NATION 3 Kommune")
+    assert one.count() == R.with_key(props).where(F.col("kommune_key") == "nation 3").count() > 0
