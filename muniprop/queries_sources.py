@@ -115,13 +115,12 @@ def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("s08_properties")
 def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SP.build_properties(fx.fx_raw(spark, sf_dir)).select("row_no", "source", "kommune", "kommune_key", "adresse")
+    return SP.build_properties(fx.fx_raw(spark, sf_dir), with_id=False).select("row_no", "source", "kommune", "kommune_key", "adresse")
 
 
 @register("s09_row_id")
 def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    props = SP.build_properties(fx.fx_raw(spark, sf_dir)).select("source", "row_no")
-    return SP.with_dense_id(props)
+    return SP.build_properties(fx.fx_raw(spark, sf_dir)).select("id", "source", "row_no")
 
 
 @register("s10_load_report")

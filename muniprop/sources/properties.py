@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from muniprop.functions.scalars import kommune_key
 from muniprop.plans.pipeline import properties_rows
-from muniprop.session import ensure_checkpoint_dir
+from muniprop.session import ensure_checkpoint_dir, materialize
 from muniprop.sources.manifest import SOURCE_PREFIX, source_label
 
 RAW_SCHEMA = T.StructType(
@@ -97,14 +97,18 @@ def conform(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def build_properties(raw: DataFrame) -> DataFrame:
-    """Dedup rows of the filtered path, labelled with kommune and source, conformed."""
+def build_properties(raw: DataFrame, with_id: bool = True, first_id: int = 0) -> DataFrame:
+    """Dedup rows of the filtered path, labelled with kommune and source, conformed,
+    with the dense ``id`` in load order starting at ``first_id`` (S09)."""
     rows = properties_rows(raw).drop("parsed_underenheter")
     rows = rows.withColumn("kommune", source_label(F.col("source")))
-    return conform(rows).withColumn("kommune_key", kommune_key("kommune"))
+    rows = conform(rows).withColumn("kommune_key", kommune_key("kommune"))
+    return with_dense_id(rows, start=first_id) if with_id else rows
 
 
-def with_dense_id(df: DataFrame, order: tuple[str, ...] = ("source", "row_no"), partitions: int | None = None) -> DataFrame:
+def with_dense_id(
+    df: DataFrame, order: tuple[str, ...] = ("source", "row_no"), partitions: int | None = None, start: int = 0
+) -> DataFrame:
     """Zero-based dense ``id`` in load order, without a one-partition window.
 
     Range-partition and sort by the load order, checkpoint (lineage cut, stable partition
@@ -120,15 +124,15 @@ def with_dense_id(df: DataFrame, order: tuple[str, ...] = ("source", "row_no"),
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "dense-id")  # fixes partition contents for both uses below
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).select("_pid", "_off")  # one row per partition: bounded by the partition count
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    out = ranged.join(F.broadcast(offsets), "_pid").withColumn("id", (F.col("_off") + local).cast("bigint"))
-    return out.select("id", *[c for c in df.columns])
+    out = ranged.join(F.broadcast(offsets), "_pid").withColumn("id", (F.lit(start) + F.col("_off") + local).cast("bigint"))
+    return out.select("id", *[c for c in df.columns if c != "id"])
 
 
 def load_report(data: DataFrame, dedup: DataFrame) -> DataFrame:
@@ -149,8 +153,12 @@ def load_report(data: DataFrame, dedup: DataFrame) -> DataFrame:
 
 
 def write_properties(props: DataFrame, path: str) -> None:
-    """S08 sink: full rebuild, partitioned by municipality."""
-    props.write.mode("overwrite").partitionBy("kommune_key").parquet(path)
+    """S08 sink: full rebuild, partitioned by municipality.
+
+    ``REBALANCE(kommune_key)`` groups each municipality's rows into few writers (few files
+    per folder) while AQE splits a hot municipality over several tasks and merges small ones.
+    """
+    props.hint("rebalance", "kommune_key").write.mode("overwrite").partitionBy("kommune_key").parquet(path)
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:

@@ -24,8 +24,13 @@ def _append_batch(target: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        props = build_properties(batch)
-        props.write.mode("append").partitionBy("kommune_key").parquet(target)
+        spark = batch.sparkSession
+        try:  # ids continue the table's sequence (one scalar from parquet footers/stats)
+            last = spark.read.parquet(target).agg(F.max("id")).first()[0]
+        except Exception:  # noqa: BLE001 - first batch: no table yet
+            last = None
+        props = build_properties(batch, first_id=0 if last is None else last + 1)
+        props.hint("rebalance", "kommune_key").write.mode("append").partitionBy("kommune_key").parquet(target)
 
     return run
 

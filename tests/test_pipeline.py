@@ -94,3 +94,37 @@ def test_for_kommune_prunes_by_key(spark, sf_dir):
     props = fx.fx_props(spark, sf_dir)
     one = R.for_kommune(props, "NATION 3 Kommune")
     assert one.count() == R.with_key(props).where(F.col("kommune_key") == "nation 3").count() > 0
+
+
+def test_reports_run_on_pipeline_output(spark, sf_dir, tmp_path):
+    from muniprop.plans import package as P
+    from muniprop.sources import properties as SP
+
+    raw = fx.fx_raw(spark, sf_dir)
+    out = str(tmp_path / "properties")
+    SP.write_properties(SP.build_properties(raw), out)
+    props = spark.read.parquet(out)
+    pkg = P.flatten_package(P.underwriting_package(props)).collect()
+    assert len(pkg) == raw.select("kommune_name").distinct().count()
+    assert all(r["score_percent"] is not None for r in pkg)
+    files = spark.read.parquet(out).inputFiles()
+    assert len(files) <= 4 * len(pkg)
+
+
+def test_list_files_reads_names_only(spark, tmp_path):
+    from muniprop.sources.manifest import list_files, manifest
+
+    for name in ["1001_Oslo_Properties.xlsx", "~$1001_Oslo_Properties.xlsx", "1002_Bergen_Properties_Imputed.xlsx", "notes.txt"]:
+        (tmp_path / name).write_bytes(b"x" * 10)
+    m = manifest(list_files(spark, str(tmp_path)))
+    got = {(r["kommune_name"], r["variant"]) for r in m.collect()}
+    assert got == {("Oslo", "raw"), ("Bergen", "imputed")}
+
+
+def test_shares_sum_to_hundred(spark, sf_dir):
+    from muniprop.operators import reports as R
+
+    props = fx.fx_props(spark, sf_dir)
+    d = R.occupancy_distribution(props, 500).groupBy("kommune_key").agg(F.sum("share_percent").alias("s"), F.count("*").alias("n"))
+    for r in d.collect():
+        assert abs(r["s"] - 100.0) <= 0.005 * r["n"] + 1e-9

@@ -26,5 +26,7 @@ def test_ingest_two_arrivals_equals_batch(spark, sf_dir):
     stored = spark.read.parquet(target)
     assert stored.count() == build_properties(fx.fx_raw(spark, sf_dir)).count()
     assert stored.select("source").distinct().count() == len(keys)
+    ids = stored.agg(F.min("id"), F.max("id"), F.countDistinct("id")).first()
+    assert (ids[0], ids[1], ids[2]) == (0, stored.count() - 1, stored.count())
     labels = {r["kommune"] for r in stored.select("kommune").distinct().collect()}
     assert all(label.startswith("NATION ") and label.endswith(" Kommune") for label in labels)
