@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from muniprop.functions.scalars import duck_round
 from muniprop.operators import reports as R
+from muniprop.session import materialize
 
 KEY = R.KEY
 
@@ -20,8 +21,11 @@ def underwriting_package(props: DataFrame) -> DataFrame:
     """Exposure, occupancy mix, age/standard, status, large risks, heritage, tenants,
     data quality - all sections for every municipality."""
     props = R.with_key(props)
-    m = R.key_metrics(props)
-    facts = R.grouped_facts(props)  # one scan for every grouped section
+    # The two fused aggregates are small (one row per municipality, or per municipality and
+    # value) and feed many sections; stored once, each is one scan of ``properties`` instead
+    # of one per consumer (Spark does not reuse them across differently pruned consumers).
+    m = materialize(R.key_metrics(props), "key-metrics")
+    facts = materialize(R.grouped_facts(props), "grouped-facts")
     mix = R.occupancy_mix(props, 30, facts)
     status = R.status_distribution(props, facts=facts)
     fields = R.quality_fields(props, m)

@@ -10,6 +10,7 @@ from muniprop.operators.enrich import backfill_alt_addresses, drop_duplicates_by
 from muniprop.operators.ownership import ownership_filter
 from muniprop.plans import pipeline as PL
 from muniprop.queries import register
+from muniprop.session import materialize
 from muniprop.sources.manifest import source_label
 
 ENRICHED = [
@@ -41,7 +42,7 @@ def p05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d01_alt_address_backfill")
 def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backfill_alt_addresses(ownership_filter(raw(spark, sf_dir))).select(
+    return backfill_alt_addresses(materialize(ownership_filter(raw(spark, sf_dir)))).select(
         "row_no", "alt_adresser", "alt_adresser_fra_knr_gnr_bnr"
     )
 
