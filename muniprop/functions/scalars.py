@@ -249,28 +249,31 @@ def age_band_order(band: Column | str) -> Column:
 def regulation_date(c: Column | str) -> Column:
     """Date of the first 10 characters in strict yyyy-MM-dd form; anything else -> null."""
     head = F.substring(col(c), 1, 10)
-    return F.when(
-        head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(head, F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))
+
+
+def regulation_index(d: Column | str) -> Column:
+    """0 for no date, 1.. for the regulations newest first, len+1 for the fallback."""
+    out = F.lit(len(dims.REGULATIONS) + 1)
+    for i, (_, start, _, _) in reversed(list(enumerate(dims.REGULATIONS, start=1))):
+        out = F.when(col(d) >= F.lit(start), F.lit(i)).otherwise(out)
+    return F.when(col(d).isNull(), F.lit(0)).otherwise(out)
+
+
+def regulation_texts(index: Column | str) -> tuple[Column, Column, Column]:
+    """(standard, in-force text, period text) of a regulation index; 0 -> three ''."""
+    table = [("", "", "")] + [(n, f, p) for n, _, f, p in dims.REGULATIONS] + [dims.REGULATION_FALLBACK]
+    return tuple(
+        F.element_at(F.array(*[F.lit(row[k]) for row in table]), col(index) + 1) for k in range(3)
     )
 
 
 def regulation(c: Column | str) -> tuple[Column, Column, Column]:
-    """(standard, in-force text, period text) by date; blank/invalid -> three ''."""
-    d = regulation_date(c)
-    std = F.lit(dims.REGULATION_FALLBACK[0])
-    inf = F.lit(dims.REGULATION_FALLBACK[1])
-    per = F.lit(dims.REGULATION_FALLBACK[2])
-    for name, start, in_force, period in reversed(dims.REGULATIONS):
-        cond = d >= F.lit(start)
-        std = F.when(cond, F.lit(name)).otherwise(std)
-        inf = F.when(cond, F.lit(in_force)).otherwise(inf)
-        per = F.when(cond, F.lit(period)).otherwise(per)
-    blank = F.lit("")
-    return (
-        F.when(d.isNull(), blank).otherwise(std),
-        F.when(d.isNull(), blank).otherwise(inf),
-        F.when(d.isNull(), blank).otherwise(per),
-    )
+    """(standard, in-force text, period text) by date; blank/invalid -> three ''.
+
+    Single-column form; ``add_regulation`` stages the date and index as columns so the date is
+    parsed once per row."""
+    return regulation_texts(regulation_index(regulation_date(c)))
 
 
 def category_norm(c: Column | str) -> Column:

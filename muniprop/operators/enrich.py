@@ -18,7 +18,9 @@ from muniprop.functions.scalars import (
     map_url,
     missing_label,
     present_text,
-    regulation,
+    regulation_date,
+    regulation_index,
+    regulation_texts,
     tolerant_double,
     tolerant_int,
     trim_ws,
@@ -135,8 +137,12 @@ def add_regulation(df: DataFrame) -> DataFrame:
     """F24 as three columns."""
     if "tidligste_status_dato" not in df.columns:
         return df
-    std, in_force, period = regulation("tidligste_status_dato")
-    return df.withColumns({"tek_standard": std, "tek_ikrafttredelse": in_force, "tek_periode": period})
+    staged = df.withColumn("_tek_d", regulation_date("tidligste_status_dato"))
+    staged = staged.withColumn("_tek_i", regulation_index("_tek_d"))
+    std, in_force, period = regulation_texts("_tek_i")
+    return staged.withColumns({"tek_standard": std, "tek_ikrafttredelse": in_force, "tek_periode": period}).drop(
+        "_tek_d", "_tek_i"
+    )
 
 
 HIERARCHY = (("hovedgruppe", "bt_hovedgruppe"), ("bygningsgruppe", "bt_bygningsgruppe"), ("bygningstype", "bt_bygningstype"))

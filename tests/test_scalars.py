@@ -22,6 +22,8 @@ def one(spark, col, value, schema="v string"):
         ("", ("", "", "")),
         ("bad-date", ("", "", "")),
         ("2015-3-12", ("", "", "")),
+        ("2015-02-30", ("", "", "")),
+        (" 2015-03-12", ("", "", "")),
         ("1900-01-01", ("Pre-1949", "Før 1949", "Før 1949")),
         ("2017-07-01T00:00:00", ("TEK17", "1. jul 2017", "2017–i dag")),
     ],
