@@ -259,7 +259,7 @@ SQL = {
     "k08_exposure_dashboard": q(
         K04, K05, K06, K07,
         select="""SELECT k04.*, top5_area, top5_share_percent, top10_area, top10_share_percent,
-  COALESCE(b.n, 0) AS n_by_kommune, COALESCE(t.n, 0) AS n_top_properties, t.largest AS largest_property_address, b.labels AS labels
+  CAST(COALESCE(b.n, 0) AS INTEGER) AS n_by_kommune, CAST(COALESCE(t.n, 0) AS INTEGER) AS n_top_properties, t.largest AS largest_property_address, b.labels AS labels
 FROM k04 LEFT JOIN k06 USING (kommune_key)
 LEFT JOIN (SELECT kommune_key, COUNT(*) AS n, string_agg(kommune, '|' ORDER BY rank) AS labels FROM k05 GROUP BY 1) b USING (kommune_key)
 LEFT JOIN (SELECT kommune_key, COUNT(*) AS n, max(CASE WHEN rank = 1 THEN address_label END) AS largest FROM k07 GROUP BY 1) t USING (kommune_key)""",

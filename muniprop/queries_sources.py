@@ -174,7 +174,7 @@ def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- Q01 .. Q08
 
 Q01_SQL = (
-    "SELECT c_nationkey, COUNT(*) AS customers, SUM(c_acctbal) AS balance FROM customer "
+    "SELECT c_nationkey, COUNT(*) AS customers, ROUND(SUM(c_acctbal), 2) AS balance FROM customer "
     "GROUP BY c_nationkey HAVING COUNT(*) >= ?"
 )
 
