@@ -151,7 +151,8 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fx.fx_raw(spark, sf_dir)
     key = X.dataset_key(raw)
     stats = PL.statistics(raw)
-    return X.materialise(stats, key, "v1", scratch_path(spark, "materialised-statistics"))
+    stored = X.materialise(stats, key, "v1", scratch_path(spark, "materialised-statistics"))
+    return stored.select(*stats.columns)  # the rows read back for (content key, version)
 
 
 @register("s14_json_safe")
