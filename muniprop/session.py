@@ -38,17 +38,26 @@ def local_session(cores: int | str = "*", app: str = "muniprop", shuffle_partiti
     return spark
 
 
+_LOCAL_FALLBACK: dict[int, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster the folder is set by the deployment and must be shared storage. Only when it
     is unset (local tests) is a scratch folder created here.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FALLBACK.get(id(spark))
     if not current:
         current = tempfile.mkdtemp(prefix="muniprop-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001 - some sessions refuse core settings at runtime
+            _LOCAL_FALLBACK[id(spark)] = current
+    try:
+        spark.sparkContext.setCheckpointDir(current)
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect); stage tables only need the path
+        pass
     return current
 
 
