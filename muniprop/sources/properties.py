@@ -117,9 +117,10 @@ def with_dense_id(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count AQE may coalesce adjacent ranges, which keeps the global order;
+    # a hot source is still split, because range bounds are sampled on (source, row_no).
     ranged = (
-        df.repartitionByRange(n, *order)
+        (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order))
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
