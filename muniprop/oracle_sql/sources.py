@@ -195,9 +195,9 @@ FROM raw""",
     + ") v(doc_id, statement) UNION ALL SELECT doc_id, text FROM documents)",
     "q04_describe": "SELECT CAST(ordinal_position AS INTEGER) AS ordinal, column_name AS name, data_type AS type, "
     "is_nullable AS nullable FROM information_schema.columns WHERE table_name = 'orders'",
-    "q05_preview": "SELECT * FROM nation",
+    "q05_preview": "SELECT * FROM supplier LIMIT 2000",
     "q06_published_query": Q01_SQL.replace("?", "1"),
-    "q07_published_table": "SELECT * FROM region",
+    "q07_published_table": "SELECT * FROM supplier LIMIT 2000",
     "q08_read_published": Q01_SQL.replace("?", "1"),
 }
 

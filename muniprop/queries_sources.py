@@ -225,8 +225,8 @@ def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("q05_preview")
 def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_tables(spark, sf_dir, ["nation"])
-    return Q.preview(spark, "main.nation")
+    register_tables(spark, sf_dir, ["supplier"])
+    return Q.preview(spark, "main.supplier")
 
 
 @register("q06_published_query")
@@ -238,9 +238,9 @@ def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("q07_published_table")
 def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_tables(spark, sf_dir, ["region"])
-    Q.publish_table(spark, "region_published", "region")
-    return spark.table("region_published")
+    register_tables(spark, sf_dir, ["supplier"])
+    Q.publish_table(spark, "supplier_published", "supplier")
+    return spark.table("supplier_published")
 
 
 @register("q08_read_published")
