@@ -259,10 +259,19 @@ def by_kommune(props: DataFrame, cap: int = 200, facts: DataFrame | None = None)
     )
 
 
-def concentration(props: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """Area of the 5 and 10 largest properties and their share of the municipality."""
-    p = with_key(props).select(KEY, area().alias("a"))
-    top = _top(p, 10, F.col("a").desc(), rank="rn").groupBy(KEY).agg(
+def concentration(props: DataFrame, metrics: DataFrame | None = None, largest: DataFrame | None = None) -> DataFrame:
+    """Area of the 5 and 10 largest properties and their share of the municipality.
+
+    Derived from K07's ten largest rows when given (``largest``, ranked by area first): ties at
+    the cut have equal area, so the tie-break does not change the sums, and no extra scan or
+    shuffle is needed.
+    """
+    if largest is None:
+        p = with_key(props).select(KEY, area().alias("a"))
+        ranked = _top(p, 10, F.col("a").desc(), rank="rn")
+    else:
+        ranked = largest.where(F.col("rank") <= 10).select(KEY, F.col("total_bruksareal").alias("a"), F.col("rank").alias("rn"))
+    top = ranked.groupBy(KEY).agg(
         F.sum(F.when(F.col("rn") <= 5, F.col("a")).otherwise(F.lit(0.0))).alias("top5"),
         F.sum("a").alias("top10"),
     )
@@ -331,14 +340,15 @@ def exposure_dashboard(
     """K04 + K06 scalars, K05 and K07 lists, one row per municipality."""
     m = metrics if metrics is not None else key_metrics(props)
     sel = selected_totals(props, m)
-    conc = concentration(props, m)
+    largest = top_properties(props, top_n, m)
+    conc = concentration(props, m, largest if top_n >= 10 else None)
     labels = _nest(
         by_kommune(props, facts=facts),
         "by_kommune",
         ["kommune", "property_count", "total_bruksareal", "property_share_percent", "area_share_percent", "is_selected"],
     )
     tops = _nest(
-        top_properties(props, top_n, m),
+        largest,
         "top_properties_by_area",
         ["kommune", "address_label", "occupancy_category", "bygningsstatus", "tek_standard", "total_bruksareal", "area_share_percent"],
     )
