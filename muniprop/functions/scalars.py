@@ -1,7 +1,9 @@
 """Scalar Column functions (normalisers, parsers, formatters).
 
 All helpers take and return ``Column`` objects built from ``pyspark.sql.functions``; nothing
-here runs Python per row, so every expression stays inside whole-stage codegen.
+here runs Python per row. Plain expressions are compiled by whole-stage codegen; the few
+higher-order functions (``transform``/``filter``/``aggregate`` over short lists) are
+evaluated inside the JVM without generated code.
 
 Missing markers differ by function on purpose (they follow the source semantics):
 ``present_text`` (addresses / keys, case-sensitive markers), ``missing_label`` (hierarchy
@@ -95,13 +97,6 @@ def name_norm(c: Column | str) -> Column:
 # ---------------------------------------------------------------- F04 .. F07 parsing
 
 
-def is_marker(c: Column | str, markers=ADDRESS_MISSING_MARKERS, case_insensitive: bool = False) -> Column:
-    v = trim_ws(col(c).cast("string"))
-    if case_insensitive:
-        v = F.lower(v)
-    return col(c).isNull() | v.isin(*markers)
-
-
 def present_text(c: Column | str) -> Column:
     """Not null and stripped text not '', '-', 'nan', '<na>' (case-sensitive)."""
     v = trim_ws(col(c).cast("string"))
