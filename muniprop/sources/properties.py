@@ -78,16 +78,27 @@ def scan_sources(
     schema = RAW_SCHEMA
     if partition_col:
         schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(partition_col, T.StringType())])
-    reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true")
-    df = reader.load(paths)
+        # CSV applies a schema by position; read by header name instead and cast, so sheets
+        # with other column orders or missing columns still land in the fixed schema.
+        text = spark.read.option("header", "true").csv(paths)
+        df = text.select(
+            *[
+                (F.col(f.name).try_cast(f.dataType) if f.name in text.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                for f in schema.fields
+            ],
+            "_metadata",
+        )
+    else:
+        df = spark.read.schema(schema).format(fmt).load(paths)
     name = F.col(partition_col) if partition_col else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
     out = df.withColumn("source", F.concat(F.lit(SOURCE_PREFIX), name))
     if partition_col:
         out = out.drop(partition_col)
     if fmt == "parquet":
         out = out.withColumn("row_no", F.coalesce(F.col("row_no"), F.col("_metadata.row_index")))
+    else:  # increasing in file order within a source (only the relative order is used)
+        out = out.withColumn("row_no", F.coalesce(F.col("row_no"), F.monotonically_increasing_id()))
     return out
 
 

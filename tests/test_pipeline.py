@@ -128,3 +128,22 @@ def test_shares_sum_to_hundred(spark, sf_dir):
     d = R.occupancy_distribution(props, 500).groupBy("kommune_key").agg(F.sum("share_percent").alias("s"), F.count("*").alias("n"))
     for r in d.collect():
         assert abs(r["s"] - 100.0) <= 0.005 * r["n"] + 1e-9
+
+
+def test_scan_csv_sources(spark, sf_dir, tmp_path):
+    from muniprop.sources import properties as SP
+
+    raw = fx.fx_raw(spark, sf_dir)
+    picked = [r["source"] for r in raw.select("source").distinct().orderBy("source").limit(2).collect()]
+    for src in picked:
+        name = src.split(":", 1)[1].replace(".xlsx", ".csv")
+        raw.where(F.col("source") == src).drop("source", "row_no").coalesce(1).write.option("header", "true").csv(str(tmp_path / "tmp" / name))
+        part = next((tmp_path / "tmp" / name).glob("part-*.csv"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(part.read_bytes())
+    scanned = SP.scan_sources(spark, str(tmp_path / "in"), "csv")
+    assert scanned.count() == raw.where(F.col("source").isin(picked)).count()
+    assert {r["source"] for r in scanned.select("source").distinct().collect()} == {s.replace(".xlsx", ".csv") for s in picked}
+    assert scanned.where(F.col("row_no").isNull()).count() == 0
+    kept = ownership_filter(scanned).count()
+    assert kept == ownership_filter(raw.where(F.col("source").isin(picked))).count()
