@@ -147,3 +147,15 @@ def test_scan_csv_sources(spark, sf_dir, tmp_path):
     assert scanned.where(F.col("row_no").isNull()).count() == 0
     kept = ownership_filter(scanned).count()
     assert kept == ownership_filter(raw.where(F.col("source").isin(picked))).count()
+
+
+def test_all_sources_at_once_equals_one_at_a_time(spark, sf_dir):
+    cols = ["row_no", "source", "alt_adresser", "alt_adresser_fra_knr_gnr_bnr", "underenheter", "antall_underenheter", "tek_standard", "forenklet_bygningskategori"]
+    raw = fx.fx_raw(spark, sf_dir)
+    picked = [r["source"] for r in raw.select("source").distinct().orderBy("source").limit(3).collect()]
+    sub = raw.where(F.col("source").isin(picked))
+    together = {tuple(r) for r in PL.properties_rows(sub).select(*cols).collect()}
+    separately = set()
+    for s in picked:
+        separately |= {tuple(r) for r in PL.properties_rows(sub.where(F.col("source") == s)).select(*cols).collect()}
+    assert together == separately and len(together) > 0
