@@ -18,28 +18,9 @@ from muniprop.plans import package as P
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-# Runtime SQL settings applied to whatever session runs a registered query (see session.py).
-RUNTIME_CONF = {
-    "spark.sql.constraintPropagation.enabled": "false",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-}
-
-
-def _tuned(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for k, v in RUNTIME_CONF.items():
-            spark.conf.set(k, v)
-        return fn(spark, sf_dir)
-
-    run.__name__ = getattr(fn, "__name__", "query")
-    run.__doc__ = fn.__doc__
-    return run
-
-
 def register(name: str):
     def deco(fn):
-        QUERIES[name] = _tuned(fn)
+        QUERIES[name] = fn
         return fn
 
     return deco
@@ -50,7 +31,7 @@ def props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = _tuned(lambda spark, sf_dir: fn(props(spark, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: fn(props(spark, sf_dir))
 
 
 _report("k01_occupancy_distribution", lambda p: R.occupancy_distribution(p, 30))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,9 +20,6 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # The ownership and enrichment expressions are large CASE/higher-order trees; inferring
-    # constraints over them costs seconds per (re-)optimisation and prunes nothing here.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -38,26 +38,25 @@ def local_session(cores: int | str = "*", app: str = "muniprop", shuffle_partiti
     return spark
 
 
-_LOCAL_FALLBACK: dict[int, str] = {}
+_LOCAL_SCRATCH: dict[str, str] = {}  # application id -> scratch folder of a local session
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the folder is set by the deployment and must be shared storage. Only when it
-    is unset (local tests) is a scratch folder created here.
+    On a cluster the deployment must set it to shared storage; a machine-local folder would be
+    empty on every other executor, so an unset value is an error there. Only a local session
+    (one JVM, as in tests) gets a scratch folder of its own, removed when Python exits.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FALLBACK.get(id(spark))
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="muniprop-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # noqa: BLE001 - some sessions refuse core settings at runtime
-            _LOCAL_FALLBACK[id(spark)] = current
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect); stage tables only need the path
-        pass
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
+        if app not in _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="muniprop-ckpt-")
+            atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], ignore_errors=True)
+        current = _LOCAL_SCRATCH[app]
     return current
 
 
