@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from muniprop.llm import quality_rules
+from muniprop.llm import quality_rules, source_mixing
 from muniprop.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_source_mixing": source_mixing.op6_source_mixing,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.OP5_SQL,
+    "op6_source_mixing": source_mixing.OP6_SQL,
 }
