@@ -33,8 +33,8 @@ from muniprop.llm.common import connected_components, fresh, stage, table
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 TREE_SAMPLE = 200_000  # upper bound of fingerprints gathered for the tree's upper part
-SHARD_POINTS = 8_000  # intended points of a shard
-LEAF = 64  # points compared exhaustively in a shard's own tree
+SHARD_POINTS = 4_000  # intended points of a shard
+LEAF = 256  # points compared exhaustively in a shard's own tree
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -78,19 +78,16 @@ def split_of(points: np.ndarray, seed: int, bits: int) -> tuple[np.uint64, int]
     cannot be separated by more than their own ball."""
     rng = np.random.default_rng(seed)
     probe = points if len(points) <= 512 else points[rng.integers(0, len(points), 512)]
-    best = None
+    best, size, r = None, len(probe), np.arange(64)
     for v in points[rng.integers(0, len(points), 8)]:
-        d = np.bincount(np.bitwise_count(probe ^ v), minlength=65)
-        inner = np.cumsum(d)
-        for radius in range(64):
-            small = min(inner[radius], len(probe) - inner[radius])
-            if small < len(probe) // 8 or not small:
-                continue
-            low, high = max(0, radius - bits + 1), min(64, radius + bits)
-            both = inner[high] - (inner[low - 1] if low else 0)
-            cost = both + 0.5 * abs(int(inner[radius]) * 2 - len(probe))
-            if both < 0.98 * len(probe) and (best is None or cost < best[0]):
-                best = (cost, v, radius)
+        inner = np.concatenate(([0], np.cumsum(np.bincount(np.bitwise_count(probe ^ v), minlength=65))))
+        within = inner[r + 1]  # points at distance <= r
+        both = inner[np.minimum(64, r + bits) + 1] - inner[np.maximum(0, r - bits + 1)]
+        usable = (np.minimum(within, size - within) >= max(1, size // 8)) & (both < 0.98 * size)
+        cost = np.where(usable, both + 0.5 * np.abs(2 * within - size), np.inf)
+        radius = int(np.argmin(cost))
+        if np.isfinite(cost[radius]) and (best is None or cost[radius] < best[0]):
+            best = (cost[radius], v, radius)
     return best and (best[1], best[2])
 
 
@@ -184,13 +181,12 @@ def shard_links(fps: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarra
 def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that connect exactly the distinct fingerprints ``fps`` (column fp) that are
     connected by steps of at most ``bits`` differing bits."""
-    spark = fps.sparkSession
     n = fps.count()
     take = min(TREE_SAMPLE, n, max(2_000, 16 * (n // SHARD_POINTS)))
     # A hash-random sample (the lowest hashes), so a rerun builds the same tree.
     sample = [r["fp"] for r in fps.orderBy(F.xxhash64("fp", F.lit(7))).limit(take).collect()]
     leaf = max(8, len(sample) * SHARD_POINTS // max(1, n))
-    tree, shards = build_tree(np.array(sample, np.int64).view(np.uint64), leaf, bits)
+    tree, _ = build_tree(np.array(sample, np.int64).view(np.uint64), leaf, bits)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,12 +213,11 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     routed = fps.select("fp").mapInArrow(route, "shard int, fp bigint, home boolean")
-    del spark, shards
     return routed.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``."""
+def rows_and_components(docs: DataFrame, doc_id: str, text: str, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Staged (doc_id, fp) of every row and (fp, component_id) of every fingerprint."""
     rows = stage(with_fingerprints(docs, doc_id, text), "simhash-fp")
     points = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-points")
     roots = connected_components(fingerprint_links(points.select("fp"), bits))
@@ -230,23 +225,31 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits
         "root", F.coalesce("root", "fp")
     )
     small = tagged.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = stage(tagged.join(small, "root").select("fp", "component_id"), "simhash-components")
+    return rows, stage(tagged.join(small, "root").select("fp", "component_id"), "simhash-components")
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs``."""
+    rows, by_fp = rows_and_components(docs, doc_id, text, bits)
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component: the one with the smallest id (of rows that share it, the one
-    with the smallest text; of wholly equal ones any)."""
-    comp = components(docs.select(doc_id, text), doc_id, text, bits)
-    named = comp.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    (key,) = fresh(docs.columns, "simhash_keep")
-    (rn,) = fresh([*docs.columns, key], "simhash_rn")
-    # Only rows whose id is some component's smallest; several such rows only where ids repeat.
-    keep = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("doc_id", key)
-    j = docs.join(keep, F.col(doc_id).cast("bigint").eqNullSafe(F.col(key)))
-    single = j.where(F.col("_n") == 1)
-    several = j.where(F.col("_n") > 1).withColumn(rn, F.row_number().over(W.partitionBy(key).orderBy(text)))
-    every = single.unionByName(several.where(F.col(rn) == 1).drop(rn))
+    """One row of each component: the one with the smallest id (of several rows with that id,
+    the one with the smallest text; of wholly equal ones any)."""
+    key, n, fp, component, rn = fresh(docs.columns, "sh_key", "sh_n", "sh_fp", "sh_component", "sh_rn")
+    rows, by_fp = rows_and_components(docs.select(doc_id, text), doc_id, text, bits)
+    first = rows.join(by_fp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
+    j = docs.join(first, F.col(doc_id).cast("bigint").eqNullSafe(F.col(key)))
+    once = j.where(F.col(n) == 1)
+    # An id on several rows: those rows alone are fingerprinted again to tell their components.
+    print_of = F.pandas_udf(lambda texts: texts.map(fingerprint), "bigint")
+    again = j.where(F.col(n) > 1).withColumn(fp, print_of(F.col(text).cast("string")))
+    again = again.join(by_fp.select(F.col("fp").alias(fp), F.col("component_id").alias(component)), fp)
+    again = again.where(F.col(component).eqNullSafe(F.col(key)))
+    again = again.withColumn(rn, F.row_number().over(W.partitionBy(component).orderBy(text))).where(F.col(rn) == 1)
+    every = once.unionByName(again.drop(fp, component, rn))
     return every.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
