@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the texts of one piece have at most ``limit`` bytes together
+    (a longer text is a piece of its own)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        total, start = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if i > start and total + n > limit:
+                yield b.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        yield b.slice(start)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

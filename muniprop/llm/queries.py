@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from muniprop.llm import quality_rules, simhash_dedup, source_mixing
+from muniprop.llm import decontamination, quality_rules, simhash_dedup, source_mixing
 from muniprop.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_source_mixing": source_mixing.op6_source_mixing,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+    "op9_decontamination": decontamination.op9_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.OP5_SQL,
