@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from muniprop.llm import decontamination, quality_rules, simhash_dedup, source_mixing
+from muniprop.llm import decontamination, quality_rules, simhash_dedup, source_mixing, token_store
 from muniprop.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op4_token_store": token_store.op4_token_store,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_source_mixing": source_mixing.op6_source_mixing,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
