@@ -45,7 +45,8 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 MAX_WORDS = 600_000  # words remembered by a task's encoder
 BLOCK_TOKENS = 1 << 20  # ids after which a block is closed (a longer document is a block)
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+# FIXED VALUES: code points with the Unicode property White_Space.
+SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe of contractions
 
 
