@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from muniprop.llm import decontamination, quality_rules, simhash_dedup, source_mixing, token_store
+from muniprop.llm import chat_format, decontamination, quality_rules, simhash_dedup, source_mixing, token_store, url_filters
 from muniprop.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filters": url_filters.op1_url_filters,
     "op4_token_store": token_store.op4_token_store,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_source_mixing": source_mixing.op6_source_mixing,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontamination": decontamination.op9_decontamination,
 }
 ORACLES: dict[str, str] = {
+    "op1_url_filters": url_filters.OP1_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op6_source_mixing": source_mixing.OP6_SQL,
 }
