@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from muniprop.llm import chat_format, decontamination, quality_rules, simhash_dedup, source_mixing, token_store, url_filters
+from muniprop.llm import (
+    chat_format,
+    decontamination,
+    html_extraction,
+    quality_rules,
+    simhash_dedup,
+    source_mixing,
+    token_store,
+    url_filters,
+)
 from muniprop.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_html_extraction": html_extraction.op2_html_extraction,
     "op4_token_store": token_store.op4_token_store,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_source_mixing": source_mixing.op6_source_mixing,
