@@ -6,6 +6,7 @@ from muniprop.llm import (
     chat_format,
     decontamination,
     html_extraction,
+    language_id,
     quality_rules,
     simhash_dedup,
     source_mixing,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.OP1_SQL,
