@@ -10,6 +10,7 @@ from muniprop.llm import (
     quality_rules,
     simhash_dedup,
     source_mixing,
+    suffix_dedup,
     token_store,
     url_filters,
 )
@@ -18,6 +19,7 @@ from muniprop.llm.common import Query
 QUERIES: dict[str, Query] = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_html_extraction": html_extraction.op2_html_extraction,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_token_store": token_store.op4_token_store,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_source_mixing": source_mixing.op6_source_mixing,
