@@ -127,7 +127,7 @@ def feature_columns(text: Column) -> dict[str, Column]:
         "n_symbols": (F.char_length(safe) - char_count_without(text, SYMBOLS)).cast("bigint"),
         "n_lines": F.size(lines).cast("bigint"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
-        "n_repeat_words": repeated_word_count(words),
+        "n_repeat_words": _let(words, repeated_word_count),
     }
 
 
@@ -188,29 +188,36 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = METHOD_
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that pass, with their own columns only. The base rules and the method's
     rules run as one short-circuit filter: a cheap rejection spares the dear features."""
-    order = [*plan_cascade(docs, (*BASE_RULES, *METHOD_RULES), text)]
-    feats = feature_columns(F.col(text))
-    words = fresh(docs.columns, "words")[0]
-    df = docs.withColumn(words, word_array(F.col(text)))
-    feats["n_words"], feats["n_repeat_words"] = F.size(words).cast("bigint"), repeated_word_count(F.col(words))
-    verdict = F.lit(True)
-    for r in reversed(order):
-        row = F.struct(*[feats[k].alias(k) for k in r.needs])
-        hit = _let(row, lambda s, r=r: _rule_on(s, r))
-        verdict = F.when(F.coalesce(hit, F.lit(False)), F.lit(False)).otherwise(verdict)
-    return df.where(verdict).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _rule_on(s: Column, r: Rule) -> Column:
+    order = plan_cascade(docs, (*BASE_RULES, *METHOD_RULES), text)
+
+    def verdict(words: Column) -> Column:
+        feats = feature_columns(F.col(text)) | {
+            "n_words": F.size(words).cast("bigint"), "n_repeat_words": repeated_word_count(words),
+        }
+        out = F.lit(True)
+        for r in reversed(order):
+            hit = _let(F.struct(*[feats[k].alias(k) for k in r.needs]), _predicate(r))
+            out = F.when(F.coalesce(hit, F.lit(False)), F.lit(False)).otherwise(out)
+        return out
+
+    # The words are bound as a lambda variable: a filter on a column would be pushed below its
+    # definition and split the text again at every use.
+    return docs.where(_let(word_array(F.col(text)), verdict))
+
+
+def _predicate(r: Rule):
     """The rule's predicate over a struct of its features."""
-    f = {k: s[k] for k in r.needs}
-    return {
-        "too_few_words": lambda: f["n_words"] < 50,
-        "repeated_words": lambda: f["n_repeat_words"] * 100 > f["n_words"] * 50,
-        "symbols": lambda: f["n_symbols"] * 2 > f["n_words"],
-        "repeated_lines": lambda: f["n_dup_lines"] * 2 > f["n_lines"],
-        "word_length": lambda: (f["word_chars"] < f["n_words"] * 2) | (f["word_chars"] > f["n_words"] * 15),
-    }[r.name]()
+
+    def rejects(f: Column) -> Column:
+        return {
+            "too_few_words": lambda: f["n_words"] < 50,
+            "repeated_words": lambda: f["n_repeat_words"] * 100 > f["n_words"] * 50,
+            "symbols": lambda: f["n_symbols"] * 2 > f["n_words"],
+            "repeated_lines": lambda: f["n_dup_lines"] * 2 > f["n_lines"],
+            "word_length": lambda: (f["word_chars"] < f["n_words"] * 2) | (f["word_chars"] > f["n_words"] * 15),
+        }[r.name]()
+
+    return rejects
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
