@@ -17,9 +17,9 @@ The rows are Parquet (any store Spark can reach, Spark's commit protocol: a lost
 leaves no half shard). A lookup reads one pilot and one slot and checks the fingerprint.
 
 Encoding: words between single spaces and line breaks are encoded by the tokenizer once per
-task and remembered (``MAX_WORDS`` of them, then the memory starts afresh), because the
-pre-tokenizer always cuts before such a space; a text with any other white space is encoded
-whole. Results equal those of encoding each whole text (tested against it).
+Python worker and remembered (at ``MAX_WORDS`` the ones seen least are forgotten), because the
+pre-tokenizer always cuts before such a space, and between a letter or digit and punctuation;
+a text with any other white space is encoded whole. Results equal those of encoding each whole text (tested against it).
 
 Defined results: null and empty texts hold only the end id; null ids come first; repeated ids
 keep all their rows, next to each other, ordered by their encoded ids; an empty table gives an
@@ -32,6 +32,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,10 @@ from muniprop.llm.common import bounded, partitions, stage_path, table
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-MAX_WORDS = 600_000  # words remembered by a task's encoder
+MAX_WORDS = 600_000  # words remembered by a worker's encoder
 BLOCK_TOKENS = 1 << 20  # ids after which a block is closed (a longer document is a block)
 # FIXED VALUES: code points with the Unicode property White_Space.
 SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe of contractions
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -64,6 +64,10 @@ class Rows(dict):
         return row
 
 
+MARK = "\x01"  # before a comma or stop that is split from its word; texts that hold it are odd
+SPLIT = ",."  # one of these between a letter or digit and a space is a piece of its own
+
+
 class Encoder:
     """Encodes texts with a tokenizer file, remembering words."""
 
@@ -75,101 +79,135 @@ class Encoder:
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         self.end_id, self.max_words = end_id, max_words
-        self.forget()
-
-    def forget(self) -> None:
         self.rows = Rows()
-        self.break_row = self.rows["\n"]
-        self.odd = np.zeros(1024, bool)  # rows that need the whole text encoded
-        self.start = np.zeros(2048, np.int64)  # by 2 * row + (1: no space before the word)
-        self.size = np.full(2048, -1, np.int64)
-        self.ids = np.zeros(1 << 16, np.int64)
+        self.glued = np.array([self.rows[w] for w in ("\n", *(MARK + p for p in SPLIT))])  # rows without a space before them
+        self.kind = np.zeros(1024, np.int8)  # by row; 1: whole text must be encoded, 2: ends in a letter or digit
+        self.hits = np.zeros(1024, np.int32)
+        self.start = np.zeros(2048, np.int32)  # by 2 * row + (1: no space before the word)
+        self.size = np.full(2048, -1, np.int32)
+        self.ids = np.zeros(1 << 16, self.type)
         self.used = self.seen = 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        out: list[list[int]] = []
+        for i in range(0, len(texts), 16_384):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 16_384], add_special_tokens=False)]
+        return out
 
-    def put(self, code: int, ids: list[int]) -> None:
-        n = len(ids)
-        while self.used + n > len(self.ids):
+    def learn(self, codes: np.ndarray) -> None:
+        """Encode words met for the first time in this form."""
+        names = list(self.rows)
+        texts = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c in codes.tolist()]
+        found = self.whole([t[1:] if t[0] == MARK else t for t in texts])
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        total = int(sizes.sum())
+        while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + n] = ids
-        self.start[code], self.size[code] = self.used, n
-        self.used += n
-
-    def learn(self, codes: np.ndarray, names: list[str]) -> None:
-        """Encode words met for the first time in this form. A run of punctuation behind a
-        letter is a piece of its own, so the word without it is encoded (once) instead."""
-        todo: dict[str, None] = {}
-        split = {}
-        for c in codes.tolist():
-            word = names[c >> 1]
-            text = word if c & 1 else " " + word
-            stem = word.rstrip(PUNCTUATION)
-            if 0 < len(stem) < len(word) and stem[-1].isalpha() and ord(stem[-1]) < 0x250 and "<|" not in word:
-                parts = (stem if c & 1 else " " + stem, word[len(stem) :])
-            else:
-                parts = (text,)
-            split[c] = parts
-            todo.update(dict.fromkeys(parts))
-        known = dict(zip(todo, self.whole(list(todo)), strict=True))
-        for c, parts in split.items():
-            self.put(c, [i for p in parts for i in known[p]])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.type, total)
+        self.size[codes] = sizes
+        self.start[codes] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw ids of each text with the end id."""
-        if len(self.rows) > self.max_words:
-            self.forget()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                w = t.replace("\n", " \n ").split(" ")
+                t = t.replace("\n", " \n ") + " "
+                for p in SPLIT:
+                    t = t.replace(p + " ", f" {MARK}{p} ")
+                w = t.split(" ")
+                w.pop()
                 counts[i] = len(w)
                 words += w
         rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        self.grow()
+        self.grow(rows)
         ends = np.cumsum(counts)
-        first = np.zeros(len(rows) + 1, bool)
-        first[ends - counts] = True
-        first = first[:-1]
-        first[1:] |= rows[:-1] == self.break_row
-        code = 2 * rows + (first | (rows == self.break_row))
-        odd = self.odd[rows]
+        begins = ends - counts
+        # A line break, and what stands at its right or at a text's start, has no space before it.
+        glued = np.isin(rows, self.glued)
+        bare = glued.copy()
+        bare[begins[counts > 0]] = True
+        bare[1:] |= rows[:-1] == self.glued[0]
+        odd = self.kind[rows] == 1
+        # A split comma or stop needs a letter or digit at its left, inside the same text.
+        stop = glued & (rows != self.glued[0])
+        left = np.concatenate(([False], self.kind[rows[:-1]] == 2))[: len(rows)]
+        left[begins[counts > 0]] = False
+        odd |= stop & ~left
+        code = 2 * rows + bare
         new = np.unique(code[(self.size[code] < 0) & ~odd])
         if len(new):
-            self.learn(new, list(self.rows))
+            self.learn(new)
         # Gather the ids of all regular words in order.
         sizes = np.where(odd, 0, self.size[code])
         total = np.concatenate(([0], np.cumsum(sizes)))
-        flat = self.ids[np.repeat(self.start[code] - total[:-1], sizes) + np.arange(total[-1])].astype(self.type)
-        stop = np.array([self.end_id], self.type).tobytes()
+        flat = self.ids[np.repeat(self.start[code] - total[:-1], sizes) + np.arange(total[-1])]
+        stop_id = np.array([self.end_id], self.type).tobytes()
         spoiled = np.concatenate(([0], np.cumsum(odd)))
-        spoiled = spoiled[ends] > spoiled[ends - counts]
+        spoiled = spoiled[ends] > spoiled[begins]
         slow = np.nonzero(spoiled)[0].tolist()
         direct = dict(zip(slow, self.whole([texts[i] for i in slow]), strict=True))
-        a, b = total[ends - counts].tolist(), total[ends].tolist()
-        return [
-            (np.array(direct[i], self.type) if i in direct else flat[a[i] : b[i]]).tobytes() + stop for i in range(len(texts))
+        a, b = total[begins].tolist(), total[ends].tolist()
+        out = [
+            (np.array(direct[i], self.type) if i in direct else flat[a[i] : b[i]]).tobytes() + stop_id for i in range(len(texts))
         ]
+        if len(self.rows) > self.max_words:
+            self.shrink()
+        return out
 
-    def grow(self) -> None:
-        """Room for all rows; marks new words that hold white space or are empty."""
+    def grow(self, rows: np.ndarray) -> None:
+        """Room for all rows; classifies new words and counts sights."""
         n = len(self.rows)
-        if n > len(self.odd):
-            self.odd = np.concatenate([self.odd, np.zeros(n, bool)])
-            self.start = np.concatenate([self.start, np.zeros(2 * n, np.int64)])
-            self.size = np.concatenate([self.size, np.full(2 * n, -1, np.int64)])
-        if n > self.seen:
-            from itertools import islice
-
-            for row, word in enumerate(islice(self.rows, self.seen, None), self.seen):
-                if not word or (word != "\n" and not SPACE_SET.isdisjoint(word)):
-                    self.odd[row] = True
-            self.seen = n
-
-
-SPACE_SET = frozenset(SPACES)
+        if n > len(self.kind):
+            self.kind = np.concatenate([self.kind, np.zeros(n, np.int8)])
+            self.hits = np.concatenate([self.hits, np.zeros(n, np.int32)])
+            self.start = np.concatenate([self.start, np.zeros(2 * n, np.int32)])
+            self.size = np.concatenate([self.size, np.full(2 * n, -1, np.int32)])
+        for row, word in enumerate(islice(self.rows, self.seen, None), self.seen):
+            if row >= len(self.glued):
+                self.kind[row] = 1 if not word or not ODD_SET.isdisjoint(word) else 2 if word[-1] in PLAIN_END else 0
+        self.seen = n
+        self.hits[:n] += np.bincount(rows, minlength=n).astype(np.int32)
+
+    def shrink(self) -> None:
+        """Forget the words seen least, so that at most half of the room stays taken."""
+        n = len(self.rows)
+        least = 2
+        while (self.hits[:n] >= least).sum() > self.max_words // 2:
+            least *= 2
+        keep = self.hits[:n] >= least
+        keep[: len(self.glued)] = True
+        old = np.nonzero(keep)[0]
+        codes = np.stack([2 * old, 2 * old + 1], axis=1).ravel()
+        size, start = self.size[codes], self.start[codes]
+        known = np.maximum(size, 0).astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(known)))
+        self.ids = self.ids[np.repeat(start - total[:-1], known) + np.arange(total[-1])]
+        self.used = len(self.ids)
+        self.ids = np.concatenate([self.ids, np.zeros(1 << 16, self.type)])
+        self.start, self.size = total[:-1].astype(np.int32), size
+        self.kind, self.hits = self.kind[old], self.hits[old] // 2
+        names = [w for w, k in zip(self.rows, keep.tolist(), strict=True) if k]
+        self.rows = Rows(zip(names, range(len(names)), strict=True))
+        self.seen = len(names)
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """The encoder of this Python worker: its words serve the worker's later tasks too."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
+ODD_SET = frozenset(SPACES + MARK)
+# Letters and digits of ASCII and Latin-1: behind them punctuation always starts a new piece.
+PLAIN_END = frozenset(c for c in map(chr, range(0x100)) if c.isascii() and c.isalnum() or c.isalpha())
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -298,7 +336,7 @@ def encode_rows(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int,
     cuts = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id)
+        encoder = encoder_of(path, end_id)
         for b in bounded(batches, 1, 4 << 20):
             raw = encoder.encode(b.column(1).to_pylist())
             key = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
