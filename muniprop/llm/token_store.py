@@ -384,6 +384,7 @@ def write_store(docs: DataFrame, store: str, doc_id: str = "doc_id", text: str =
     return store
 
 
+FOUND = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("block", pa.int32()), ("ids", pa.list_(pa.int64()))])
 BLOCK_ARROW = pa.schema(
     [("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_tokens", pa.int64()),
      ("width", pa.int32()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("payload", pa.binary()), ("ends", pa.binary()),
@@ -456,7 +457,7 @@ def lookup(spark: SparkSession, store: str, keys: list[int]) -> DataFrame:
                     if block.keys[o - block.n_null] == k
                 ]
                 if out:
-                    yield pa.RecordBatch.from_pylist(out)
+                    yield pa.RecordBatch.from_pylist(out, schema=FOUND)
 
     return spark.read.parquet(store).where(hold).mapInArrow(run, "doc_id bigint, shard int, block int, ids array<bigint>")
 
