@@ -291,10 +291,20 @@ REGULATION_FALLBACK = ("Pre-1949", "Før 1949", "Før 1949")
 # Derived tables (rules over the fixed values above)
 # ---------------------------------------------------------------------------------------
 
-# The source system numbers building types 1..127 in ascending NS 3457 level-3 order
-# (0 means "unknown"); so internal id n is the n-th three-digit code.
-LEVEL3_CODES: list[int] = sorted(code for code in NS3457_NAMES if code >= 100)
-INTERNAL_ID_TO_NS3457: dict[int, int | None] = {0: None, **{i + 1: c for i, c in enumerate(LEVEL3_CODES)}}
+# FIXED VALUES: internal building-type id -> NS 3457 code (0 means "unknown").
+INTERNAL_ID_TO_NS3457: dict[int, int | None] = {
+    0: None, 1: 111, 2: 112, 3: 113, 4: 121, 5: 122, 6: 123, 7: 124, 8: 131, 9: 133, 10: 135, 11: 136,
+    12: 141, 13: 142, 14: 143, 15: 144, 16: 145, 17: 146, 18: 151, 19: 152, 20: 159, 21: 161, 22: 162, 23: 163,
+    24: 171, 25: 172, 26: 181, 27: 182, 28: 183, 29: 193, 30: 199, 31: 211, 32: 212, 33: 214, 34: 216, 35: 219,
+    36: 221, 37: 223, 38: 229, 39: 231, 40: 232, 41: 233, 42: 239, 43: 241, 44: 243, 45: 244, 46: 245, 47: 248,
+    48: 249, 49: 311, 50: 312, 51: 313, 52: 319, 53: 321, 54: 322, 55: 323, 56: 329, 57: 330, 58: 411, 59: 412,
+    60: 415, 61: 416, 62: 419, 63: 429, 64: 431, 65: 439, 66: 441, 67: 449, 68: 511, 69: 512, 70: 519, 71: 521,
+    72: 522, 73: 523, 74: 524, 75: 529, 76: 531, 77: 532, 78: 533, 79: 539, 80: 611, 81: 612, 82: 613, 83: 614,
+    84: 615, 85: 616, 86: 619, 87: 621, 88: 623, 89: 629, 90: 641, 91: 642, 92: 643, 93: 649, 94: 651, 95: 652,
+    96: 653, 97: 654, 98: 655, 99: 659, 100: 661, 101: 662, 102: 663, 103: 669, 104: 671, 105: 672, 106: 673, 107: 674,
+    108: 675, 109: 679, 110: 719, 111: 721, 112: 722, 113: 723, 114: 729, 115: 731, 116: 732, 117: 739, 118: 819, 119: 821,
+    120: 822, 121: 823, 122: 824, 123: 825, 124: 829, 125: 830, 126: 840, 127: 999,
+}
 
 
 def hierarchy_of(ns3457: int | None) -> tuple[str, str, str]:

@@ -35,7 +35,12 @@ def col(c: Column | str) -> Column:
 # ---------------------------------------------------------------- generic text helpers
 
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+# Everything that counts as white space in Unicode text, with the ASCII separators 1C-1F: sheets
+# hold non-breaking blanks.
+WHITESPACE = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+WS_CLASS = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "]"
 
 
 def trim_ws(c: Column | str) -> Column:
@@ -45,7 +50,7 @@ def trim_ws(c: Column | str) -> Column:
 
 def collapse_ws(c: Column | str) -> Column:
     """Collapse whitespace runs to one space and strip the ends."""
-    return trim_ws(F.regexp_replace(col(c), r"\s+", " "))
+    return trim_ws(F.regexp_replace(col(c), WS_CLASS + "+", " "))
 
 
 def duck_round(c: Column | str, digits: int = 2) -> Column:
@@ -117,17 +122,17 @@ def missing_label(c: Column | str) -> Column:
 def split_list(c: Column | str) -> Column:
     """split on ';' or ',', strip parts, drop empty parts; missing -> empty array."""
     # the separator pattern absorbs the whitespace around it, so parts come out stripped
-    parts = F.split(trim_ws(col(c)), r"[ \t\n\x0B\f\r]*[;,][ \t\n\x0B\f\r]*")
+    parts = F.split(trim_ws(col(c)), f"{WS_CLASS}*[;,]{WS_CLASS}*")
     return F.when(list_value_missing(c), F.array().cast("array<string>")).otherwise(
         F.filter(parts, lambda x: x != "")
     )
 
 
 def code_ids(c: Column | str) -> Column:
-    """every digit run as a number (empty array when none)."""
+    """every digit run as a number (empty array when none); a run of more than 38 digits is null."""
     return F.transform(
         F.coalesce(F.regexp_extract_all(col(c), F.lit(r"(\d+)"), 1), F.array().cast("array<string>")),
-        lambda x: x.try_cast("bigint"),
+        lambda x: x.try_cast("decimal(38,0)"),
     )
 
 
@@ -150,27 +155,37 @@ def postal_int(c: Column | str) -> Column:
     d = tolerant_double(c)
     return (
         F.when(col(c).isNull(), F.lit(""))
-        .when(d.isNotNull(), d.cast("bigint").cast("string"))
+        .when(d.isNotNull(), F.coalesce(_whole_text(d), trim_ws(col(c))))
         .otherwise(trim_ws(col(c)))
     )
 
 
+def _whole_text(d: Column) -> Column:
+    """A double cut to a whole number, as text; null beyond 38 digits."""
+    return F.when(F.abs(d) < F.lit(9e15), d.try_cast("bigint").cast("string")).otherwise(
+        d.try_cast("decimal(38,0)").cast("string")
+    )
+
+
 def house_number(c: Column | str) -> Column:
-    """whole float -> integer text; null/NaN -> ''."""
-    v = col(c)
+    """a whole number, also as a float or as text ('12.0') -> integer text; other text
+    ('12B') as written; null, NaN and blanks -> ''."""
+    v = trim_ws(col(c).cast("string"))
+    whole = v.try_cast("decimal(38,0)")  # of a large double, written as 1.5E7
+    large = F.when(whole.cast("double") == v.try_cast("double"), whole.cast("string"))
     return (
-        F.when(v.isNull() | F.isnan(v), F.lit(""))
-        .when(v == F.floor(v), v.cast("bigint").cast("string"))
-        .otherwise(v.cast("string"))
+        F.when(v.isNull() | (v == "NaN"), F.lit(""))
+        .when(v.rlike(r"^-?[0-9]+\.0+$"), F.substring_index(v, ".", 1))
+        .when(v.rlike(r"^-?[0-9.]+E[0-9]+$"), F.coalesce(large, v))
+        .otherwise(v)
     )
 
 
 def address(name: Column | str, number: Column | str) -> Column:
     """'name number' if both, the name alone if no number, else ''."""
-    n, k = col(name), col(number)
-    has_num = k.isNotNull() & ~F.isnan(k)
+    n, k = col(name), house_number(number)
     return (
-        F.when(n.isNotNull() & has_num, F.concat(n, F.lit(" "), house_number(k)))
+        F.when(n.isNotNull() & (k != ""), F.concat(n, F.lit(" "), k))
         .when(n.isNotNull(), n)
         .otherwise(F.lit(""))
     )
@@ -179,9 +194,8 @@ def address(name: Column | str, number: Column | str) -> Column:
 def full_address(name: Column | str, number: Column | str, postal: Column | str, place: Column | str) -> Column:
     """'name[ number][, postal][ place]'; '' when the name is missing."""
     nm = trim_ws(col(name))
-    k = col(number)
-    has_num = k.isNotNull() & ~F.isnan(k)
-    street = F.when(has_num, trim_ws(F.concat(nm, F.lit(" "), house_number(k)))).otherwise(nm)
+    k = house_number(number)
+    street = F.when(k != "", trim_ws(F.concat(nm, F.lit(" "), k))).otherwise(nm)
     post = postal_text(postal)
     with_post = F.when(post != "", F.concat(street, F.lit(", "), post)).otherwise(street)
     with_place = F.when(present_text(place), F.concat(with_post, F.lit(" "), trim_ws(col(place)))).otherwise(with_post)
@@ -215,8 +229,9 @@ def valid_key(c: Column | str) -> Column:
 
 
 def tolerant_int(c: Column | str) -> Column:
-    """F16: null/blank/unparsable -> null; otherwise int(float(x)), truncating toward zero."""
-    return tolerant_double(c).try_cast("int")
+    """F16: null/blank/unparsable -> null; otherwise int(float(x)), truncating toward zero. Values
+    beyond 64 bits are null (no code, flag or count is that large)."""
+    return tolerant_double(c).try_cast("bigint")
 
 
 def age_band(tek: Column | str) -> Column:

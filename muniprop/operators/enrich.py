@@ -36,10 +36,13 @@ def status_included(c: Column | str = "bygningsstatus_kode_id") -> Column:
 
 
 def split_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(included, excluded); without a status column every row is included."""
+    """(included, excluded); without a status column every row is included, also where
+    only the row's own sheet lacks it (``status_absent``)."""
     if "bygningsstatus_kode_id" not in df.columns:
         return df, df.where(F.lit(False))
     inc = status_included()
+    if "status_absent" in df.columns:
+        inc = inc | F.coalesce("status_absent", F.lit(False))
     return df.where(inc), df.where(~inc)
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from muniprop.functions.limits import bounded_limit
 from muniprop.functions.scalars import (
     MISSING,
     age_band,
@@ -43,13 +44,6 @@ SCORE_FIELDS = 5
 QUALITY_GAP_BELOW = 90.0
 
 
-def validate_limit(limit: int, upper: int = MAX_ROWS) -> int:
-    value = int(limit)
-    if value < 1 or value > upper:
-        raise ValueError(f"limit must be in range [1, {upper}].")
-    return value
-
-
 def with_key(props: DataFrame) -> DataFrame:
     """Add ``kommune_key`` unless the table already carries it (stored tables do)."""
     return props if KEY in props.columns else props.withColumn(KEY, kommune_key("kommune"))
@@ -81,9 +75,11 @@ def _by_key(*order: Column) -> Window:
     return Window.partitionBy(KEY).orderBy(*order)
 
 
-def _top(df: DataFrame, n: int, *order: Column, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per municipality in the given order (map-side group limit)."""
-    return df.withColumn(rank, F.row_number().over(_by_key(*order))).where(F.col(rank) <= n)
+def _top(df: DataFrame, n: int | None, *order: Column, rank: str = "rank") -> DataFrame:
+    """First ``n`` rows per municipality in the given order (map-side group limit); all of them,
+    ranked, for ``None``."""
+    ranked = df.withColumn(rank, F.row_number().over(_by_key(*order)))
+    return ranked if n is None else ranked.where(F.col(rank) <= n)
 
 
 def _key_total(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -145,7 +141,7 @@ def _occupancy_groups(props: DataFrame, facts: DataFrame | None = None) -> DataF
 
 def occupancy_distribution(props: DataFrame, limit: int = 30) -> DataFrame:
     """Categories by area with their share of all categories (share before limit)."""
-    limit = validate_limit(limit, OCCUPANCY_MAX)
+    limit = bounded_limit(limit, OCCUPANCY_MAX)
     g = _key_total(_occupancy_groups(props), "total_bruksareal", "_all_area")
     g = g.withColumn("share_percent", pct("total_bruksareal", "_all_area"))
     return _top(g, limit, F.col("total_bruksareal").desc(), F.col("occupancy_category").asc()).select(
@@ -234,7 +230,7 @@ def selected_totals(props: DataFrame, metrics: DataFrame | None = None) -> DataF
     )
 
 
-def by_kommune(props: DataFrame, cap: int = 200, facts: DataFrame | None = None) -> DataFrame:
+def by_kommune(props: DataFrame, cap: int | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Raw labels of each municipality with shares of the whole portfolio."""
     if facts is not None:
         g = _facts_for(facts, "kommune", "property_count")
@@ -288,7 +284,7 @@ def concentration(props: DataFrame, metrics: DataFrame | None = None, largest: D
 
 def top_properties(props: DataFrame, top_n: int = 10, metrics: DataFrame | None = None) -> DataFrame:
     """The largest properties of each municipality with their area share."""
-    top_n = validate_limit(top_n)
+    top_n = bounded_limit(top_n)
     p = with_key(props).select(
         KEY,
         "kommune",
@@ -360,7 +356,7 @@ def exposure_dashboard(
 
 def occupancy_mix(props: DataFrame, limit: int = 30, facts: DataFrame | None = None) -> DataFrame:
     """Categories with count and area shares, largest area first."""
-    limit = validate_limit(limit)
+    limit = bounded_limit(limit)
     g = _key_total(_occupancy_groups(props, facts), "building_count", "_all_count")
     g = _key_total(g, "total_bruksareal", "_all_area")
     g = g.withColumn("count_share_percent", pct("building_count", "_all_count")).withColumn(
@@ -385,7 +381,7 @@ def top_by_count(mix: DataFrame, n: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- K12 / K13 age and standard
 
 
-def tek_distribution(props: DataFrame, cap: int = 200, facts: DataFrame | None = None) -> DataFrame:
+def tek_distribution(props: DataFrame, cap: int | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Building-regulation mix ('MISSING' for null)."""
     if facts is not None:
         g = _facts_for(facts, "tek_standard", "property_count")
@@ -428,7 +424,7 @@ def age_bands(props: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 # ---------------------------------------------------------------- K14 .. K17 status and large risks
 
 
-def status_distribution(props: DataFrame, cap: int = 100, facts: DataFrame | None = None) -> DataFrame:
+def status_distribution(props: DataFrame, cap: int | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Building-status mix ('MISSING' for null)."""
     if facts is not None:
         g = _facts_for(facts, "bygningsstatus", "property_count")
@@ -448,7 +444,7 @@ def status_distribution(props: DataFrame, cap: int = 100, facts: DataFrame | Non
 
 
 def problem_statuses(status_dist: DataFrame) -> DataFrame:
-    """Sorted distinct problem statuses of the (capped) status mix."""
+    """Sorted distinct problem statuses of the status mix (pass it uncapped)."""
     from muniprop.functions.scalars import trim_ws
 
     s = status_dist.where(problem_status("bygningsstatus")).select(KEY, trim_ws("bygningsstatus").alias("bygningsstatus"))
@@ -471,14 +467,14 @@ def _detail(props: DataFrame) -> DataFrame:
 
 def problem_properties(props: DataFrame, limit: int = 50) -> DataFrame:
     """Largest properties with a problem status."""
-    limit = validate_limit(limit)
+    limit = bounded_limit(limit)
     d = _detail(props).where(problem_status("bygningsstatus"))
     return _top(d, limit, F.col("total_bruksareal").desc(), F.col("address_label").asc(), F.col("id").asc()).drop("id")
 
 
 def large_risks(props: DataFrame, limit: int = 20) -> DataFrame:
     """Largest properties (area, category, address order)."""
-    limit = validate_limit(limit)
+    limit = bounded_limit(limit)
     return _top(
         _detail(props),
         limit,
@@ -507,7 +503,7 @@ def heritage_summary(props: DataFrame, limit: int = 50, metrics: DataFrame | Non
 
 def heritage_rows(props: DataFrame, limit: int = 50) -> DataFrame:
     """Largest properties carrying any heritage flag."""
-    limit = validate_limit(limit)
+    limit = bounded_limit(limit)
     flags = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("har_sefrakminne", "har_kulturminne", "skjermingsverdig")}
     d = with_key(props).select(
         KEY,
@@ -543,7 +539,7 @@ def tenant_summary(props: DataFrame, metrics: DataFrame | None = None) -> DataFr
 
 def tenant_top(props: DataFrame, limit: int = 20) -> DataFrame:
     """Properties with the most sub-units."""
-    limit = validate_limit(limit)
+    limit = bounded_limit(limit)
     d = with_key(props).select(
         KEY,
         "id",
@@ -609,14 +605,15 @@ def quality_gaps(fields: DataFrame) -> DataFrame:
 
 
 def cumulative_share(top: DataFrame) -> DataFrame:
-    """Running area share over the top-property list, rounded, capped at 100."""
+    """Running area share over the top-property list, rounded, capped at 100; a municipality
+    without area has share 0 on every row."""
     w = _by_key(F.col("rank").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return top.select(
         KEY,
         "rank",
         "address_label",
         "total_bruksareal",
-        F.least(duck_round(F.sum("area_share_percent").over(w), 2), F.lit(100.0)).alias("cumulative_share_percent"),
+        F.least(duck_round(F.sum(F.coalesce("area_share_percent", F.lit(0.0))).over(w), 2), F.lit(100.0)).alias("cumulative_share_percent"),
     )
 
 

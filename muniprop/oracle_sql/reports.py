@@ -103,7 +103,7 @@ k05 AS (
       """ + pct("total_bruksareal", "SUM(total_bruksareal) OVER ()") + """ AS area_share_percent,
       regexp_replace(lower(trim(regexp_replace(COALESCE(kommune, ''), '\\s+', ' ', 'g'))), ' kommune$', '')
         = regexp_replace(lower(trim(regexp_replace(kommune_key, '\\s+', ' ', 'g'))), ' kommune$', '') AS is_selected
-    FROM k05g) WHERE rank <= 200
+    FROM k05g)
 )"""
 
 K06 = """k06r AS (
@@ -148,7 +148,7 @@ K11 = """k11 AS (
 )"""
 
 
-def _dist(name: str, expr: str, cap: int) -> str:
+def _dist(name: str, expr: str) -> str:
     return f"""{name}g AS (
   SELECT kommune_key, {expr} AS val, COUNT(*) AS property_count, SUM(area) AS total_bruksareal FROM p GROUP BY 1, 2
 ),
@@ -158,12 +158,12 @@ def _dist(name: str, expr: str, cap: int) -> str:
       property_count, total_bruksareal,
       {pct("property_count", "SUM(property_count) OVER (PARTITION BY kommune_key)")} AS property_share_percent,
       {pct("total_bruksareal", "SUM(total_bruksareal) OVER (PARTITION BY kommune_key)")} AS area_share_percent
-    FROM {name}g) WHERE rank <= {cap}
+    FROM {name}g)
 )"""
 
 
-K12 = _dist("k12", "COALESCE(tek_standard, 'MISSING')", 200)
-K14 = _dist("k14", "COALESCE(bygningsstatus, 'MISSING')", 100)
+K12 = _dist("k12", "COALESCE(tek_standard, 'MISSING')")
+K14 = _dist("k14", "COALESCE(bygningsstatus, 'MISSING')")
 
 AGE_BAND = """CASE WHEN tek_standard IN ('TEK17', 'TEK10') THEN '2010+'
        WHEN tek_standard IN ('TEK07', 'TEK97') THEN '1997-2009'
@@ -283,7 +283,7 @@ LEFT JOIN (SELECT kommune_key, COUNT(*) AS n, max(CASE WHEN rank = 1 THEN addres
     "k27_cumulative_share": q(
         METRICS, K07,
         select="""SELECT kommune_key, rank, address_label, total_bruksareal,
-  LEAST(ROUND(SUM(area_share_percent) OVER (PARTITION BY kommune_key ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2), 100.0)
+  LEAST(ROUND(SUM(COALESCE(area_share_percent, 0.0)) OVER (PARTITION BY kommune_key ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2), 100.0)
     AS cumulative_share_percent FROM k07""",
     ),
     "k28_portfolio_summary": q(select="SELECT kommune, SUM(area) AS total_bruksareal FROM p GROUP BY 1"),

@@ -6,8 +6,19 @@ from muniprop.fixtures import FX_RAW_SQL, duck_fixture
 from muniprop.oracle_sql import frag as f
 from muniprop.oracle_sql import pipeline as pl
 from muniprop.plans import sqlapi
-from muniprop.queries_sources import EXTRA_FILES, FILE_DIR, GATE_PROBES, Q01_SQL
+from muniprop.queries_sources import (
+    EXTRA_FILES,
+    FILE_DIR,
+    GATE_PROBES,
+    Q01_SQL,
+    Q06_SQL,
+    Q08_SQL,
+    Q_LIMIT,
+    S01_EXTRA_SQL,
+    S01_FIELDS,
+)
 from muniprop.sources import hashing as H
+from muniprop.sources import sheet_columns as SC
 
 RAW = f"WITH raw AS ({duck_fixture(FX_RAW_SQL)})"
 
@@ -69,8 +80,12 @@ AVAILABLE = """avail AS (
 
 
 def _digest(table: str, cols: list[str]) -> str:
-    parts = ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '\\N')" for c in sorted(cols))
-    return f"sha256(concat_ws(chr(1), {parts}))"
+    parts = []
+    for c in sorted(cols):
+        name, kind = c.split(":")
+        v = f"CAST({name} AS VARCHAR)"
+        parts.append(f"'{c}:' || COALESCE(length({v}) || ':' || {v}, '-') || ';'")
+    return f"sha256({' || '.join(parts)})"
 
 
 def _fingerprint(table: str, cols: list[str]) -> str:
@@ -85,17 +100,32 @@ def _fingerprint(table: str, cols: list[str]) -> str:
 
 
 def gate(x: str) -> str:
-    first = f"lower(regexp_extract({x}, '{sqlapi.GATE_FIRST_WORD}', 1))"
-    body = f"regexp_replace({x}, '''[^'']*''', '''''', 'g')"
+    bare = f"regexp_replace(regexp_replace({x}, {_lit(sqlapi.QUOTED)}, 'q', 'g'), {_lit(sqlapi.COMMENTS)}, ' ', 'g')"
+    outside = "bare"
+    for _ in range(sqlapi.NESTING):
+        outside = f"regexp_replace({outside}, {_lit(sqlapi.INNERMOST)}, ' ', 'g')"
     reads = ", ".join(_lit(w) for w in sorted(sqlapi.READ_PREFIXES))
     return (
-        f"CASE WHEN {first} IN ({reads}) AND NOT ({first} = 'with' AND regexp_matches({body}, '{sqlapi.GATE_HIDDEN_WRITE}')) "
-        "THEN 'read' ELSE 'write' END"
+        f"SELECT doc_id, CASE WHEN first IN ({reads}) AND NOT (first = 'with' AND (regexp_matches(outside, {_lit(sqlapi.OPENS_WRITE)}) "
+        f"OR contains(outside, '('))) THEN 'read' ELSE 'write' END AS verdict FROM (SELECT doc_id, first, {outside} AS outside FROM ("
+        f"SELECT doc_id, bare, lower(regexp_extract(bare, {_lit(sqlapi.FIRST_WORD)}, 1)) AS first FROM (SELECT doc_id, {bare} AS bare FROM "
     )
 
 
+def s01_value(name: str) -> str:
+    raw = f"({S01_EXTRA_SQL[name]})" if name in S01_EXTRA_SQL else name
+    if name in SC.NUMBERS:
+        return f"CAST({raw} AS DOUBLE)"
+    if name in SC.INTEGERS:
+        return f"CAST(CAST({raw} AS DOUBLE) AS BIGINT)"
+    text = f"CAST({raw} AS VARCHAR)"
+    # an empty cell of a CSV sheet reads as null
+    return f"NULLIF({text}, '')" if name != "underenheter" else f"CASE WHEN kommunenummer % 2 = 1 THEN NULLIF({text}, '') END"
+
+
 SQL = {
-    "s01_scan": RAW + "\nSELECT row_no, source, kommune_name, bruksareal_totalt FROM raw",
+    "s01_scan": RAW + "\nSELECT source, replace(kommune_name, '_', ' ') AS kommune_name, "
+    + ", ".join(f"{s01_value(c)} AS {c}" for c in S01_FIELDS) + " FROM raw",
     "s02_manifest": FILES
     + f"""
 SELECT path, file_name, regexp_extract(file_name, '^(\\d{{4}})_', 1) AS kommunenummer, {STRICT_NAME} AS kommune_name,
@@ -159,9 +189,11 @@ SELECT row_no, source, kommune, lower(trim(replace(replace(kommune, ' Kommune',
     + pl.merge("inc", "d05")
     + """,
 per AS (
-  SELECT a.source, a.rows_loaded, b.before - a.rows_loaded AS duplicates_removed, a.alt_address_backfilled FROM
-  (SELECT source, COUNT(*) AS rows_loaded, COUNT(*) FILTER (WHERE alt_adresser_fra_knr_gnr_bnr) AS alt_address_backfilled FROM d05 GROUP BY 1) a
-  JOIN (SELECT source, COUNT(*) AS before FROM inc GROUP BY 1) b USING (source)
+  SELECT s.source, COALESCE(a.rows_loaded, 0) AS rows_loaded, COALESCE(b.before, 0) - COALESCE(a.rows_loaded, 0) AS duplicates_removed,
+    COALESCE(a.alt_address_backfilled, 0) AS alt_address_backfilled
+  FROM (SELECT DISTINCT source FROM raw UNION ALL SELECT 'kartverket:9999_EMPTY_Properties.xlsx') s
+  LEFT JOIN (SELECT source, COUNT(*) AS rows_loaded, COUNT(*) FILTER (WHERE alt_adresser_fra_knr_gnr_bnr) AS alt_address_backfilled FROM d05 GROUP BY 1) a USING (source)
+  LEFT JOIN (SELECT source, COUNT(*) AS before FROM inc GROUP BY 1) b USING (source)
 )
 SELECT source, SUM(rows_loaded)::BIGINT AS rows_loaded, SUM(duplicates_removed)::BIGINT AS duplicates_removed,
   SUM(alt_address_backfilled)::BIGINT AS alt_address_backfilled
@@ -169,9 +201,9 @@ FROM per GROUP BY ROLLUP (source)""",
     "s11_content_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, COUNT(*) AS copies FROM documents GROUP BY 1",
     "s12_fingerprint": "\nUNION ALL\n".join(
         [
-            _fingerprint("region", ["r_regionkey", "r_name"]),
-            _fingerprint("nation", ["n_nationkey", "n_name", "n_regionkey"]),
-            _fingerprint("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+            _fingerprint("region", ["r_regionkey:int", "r_name:string"]),
+            _fingerprint("nation", ["n_nationkey:int", "n_name:string", "n_regionkey:int"]),
+            _fingerprint("customer", ["c_custkey:bigint", "c_name:string", "c_nationkey:int", "c_acctbal:double", "c_mktsegment:string"]),
         ]
     ),
     "s14_json_safe": RAW
@@ -187,18 +219,18 @@ FROM raw""",
     "p11_rename": RAW
     + "\nSELECT row_no, kommunenummer AS Kommunenummer, gardsnummer AS Gardsnummer, bruksnummer AS Bruksnummer, "
     "adressenavn AS Adressenavn, nummer AS Nummer, postnummer AS Postnummer, poststed AS Poststed FROM raw",
-    "q01_bounded_query": Q01_SQL.replace("?", "1"),
-    "q02_read_gate": "SELECT doc_id, "
-    + gate("statement")
-    + " AS verdict FROM (SELECT * FROM (VALUES "
+    "q01_bounded_query": "SELECT c_custkey, orders, CAST(key_sum AS BIGINT) AS key_sum, LEAST(n, 25)::BIGINT AS row_count, n > 25 AS truncated "
+    "FROM (SELECT *, COUNT(*) OVER () AS n, row_number() OVER (ORDER BY c_custkey) AS k FROM ("
+    + Q01_SQL.replace("?", "2").replace(" ORDER BY c_custkey", "")
+    + f")) WHERE k <= {Q_LIMIT}",
+    "q02_read_gate": gate("statement")
+    + "(SELECT * FROM (VALUES "
     + ", ".join(f"({-(i + 1)}, {_lit(s)})" for i, s in enumerate(GATE_PROBES))
-    + ") v(doc_id, statement) UNION ALL SELECT doc_id, text FROM documents)",
-    "q04_describe": "SELECT CAST(ordinal_position AS INTEGER) AS ordinal, column_name AS name, data_type AS type, "
-    "is_nullable AS nullable FROM information_schema.columns WHERE table_name = 'orders'",
+    + ") v(doc_id, statement) UNION ALL SELECT doc_id, text FROM documents))))",
     "q05_preview": "SELECT * FROM supplier LIMIT 2000",
-    "q06_published_query": Q01_SQL.replace("?", "1"),
-    "q07_published_table": "SELECT * FROM supplier LIMIT 2000",
-    "q08_read_published": Q01_SQL.replace("?", "1"),
+    "q06_published_query": Q06_SQL,
+    "q07_published_table": "SELECT * FROM nation LIMIT 2000",
+    "q08_read_published": Q08_SQL,
 }
 
 SQL["s13_materialise"] = pl.SQL["d07_statistics"]

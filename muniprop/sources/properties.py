@@ -7,6 +7,10 @@ layout that already separates municipalities.
 
 from __future__ import annotations
 
+import csv
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,34 +18,8 @@ from pyspark.sql import types as T
 from muniprop.functions.scalars import kommune_key
 from muniprop.plans.pipeline import properties_rows
 from muniprop.session import ensure_checkpoint_dir, materialize
-from muniprop.sources.manifest import SOURCE_PREFIX, source_label
-
-RAW_SCHEMA = T.StructType(
-    [
-        T.StructField("row_no", T.LongType()),
-        T.StructField("kommune_name", T.StringType()),
-        T.StructField("kommunenummer", T.IntegerType()),
-        T.StructField("gardsnummer", T.IntegerType()),
-        T.StructField("bruksnummer", T.IntegerType()),
-        T.StructField("bygningstype_kode_id", T.IntegerType()),
-        T.StructField("bygningstype_kode_ssb", T.StringType()),
-        T.StructField("bygningsstatus_kode_id", T.StringType()),
-        T.StructField("tidligste_status_dato", T.StringType()),
-        T.StructField("bruksareal_totalt", T.DoubleType()),
-        T.StructField("adressenavn", T.StringType()),
-        T.StructField("nummer", T.DoubleType()),
-        T.StructField("postnummer", T.StringType()),
-        T.StructField("poststed", T.StringType()),
-        T.StructField("alt_adresser", T.StringType()),
-        T.StructField("alle_eiere", T.StringType()),
-        T.StructField("alle_eierforhold_kode_ids", T.StringType()),
-        T.StructField("alle_eierandeler", T.StringType()),
-        T.StructField("underenheter", T.StringType()),
-        T.StructField("antall_underenheter", T.IntegerType()),
-        T.StructField("duplikat_flagg", T.StringType()),
-        T.StructField("duplikat_gruppe", T.StringType()),
-    ]
-)
+from muniprop.sources.manifest import SOURCE_PREFIX, source_label, strict_kommune_name
+from muniprop.sources.sheet_columns import conform_sheet, stack_sheets
 
 # Columns every report reads; absent ones are added as typed nulls.
 REPORT_COLUMNS = {
@@ -66,42 +44,80 @@ REPORT_COLUMNS = {
 }
 
 
-def scan_sources(
-    spark: SparkSession, paths: list[str] | str, fmt: str = "parquet", partition_col: str | None = None
-) -> DataFrame:
-    """Read building-ownership rows of many files at once with a fixed schema.
+def _headers_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """CSV files by their header line. One row per file comes to the driver."""
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.where("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+    files: dict[str, list[str]] = {}
+    for r in first.groupBy("file_path").agg(F.min_by("value", "at").alias("header")).orderBy("file_path").collect():
+        files.setdefault(r["header"], []).append(r["file_path"])
+    return files
 
-    ``source`` comes from the file name (or from a partition folder such as
-    ``source_file=...``); ``row_no`` is kept when the files carry it, else the parquet row
-    index inside the file.
-    """
-    schema = RAW_SCHEMA
-    if partition_col:
-        schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(partition_col, T.StringType())])
-    if fmt == "csv":
-        # CSV applies a schema by position; read by header name instead and cast, so sheets
-        # with other column orders or missing columns still land in the fixed schema.
-        text = spark.read.option("header", "true").csv(paths)
-        df = text.select(
-            *[
-                (F.col(f.name).try_cast(f.dataType) if f.name in text.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-                for f in schema.fields
-            ],
-            "_metadata",
-        )
-    else:
-        df = spark.read.schema(schema).format(fmt).load(paths)
-    name = F.col(partition_col) if partition_col else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
-    out = df.withColumn("source", F.concat(F.lit(SOURCE_PREFIX), name))
-    if partition_col:
-        out = out.drop(partition_col)
-    if fmt == "parquet":
-        out = out.withColumn("row_no", F.coalesce(F.col("row_no"), F.col("_metadata.row_index")))
-    else:  # increasing in file order within a source (only the relative order is used)
-        out = out.withColumn("row_no", F.coalesce(F.col("row_no"), F.monotonically_increasing_id()))
+
+def _csv_groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """CSV sheets read by name: one frame per distinct header, all values as text."""
+    out = []
+    for header, files in _headers_of(spark, paths).items():
+        names = next(csv.reader([header.lstrip("\ufeff")]))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        out.append(spark.read.schema(schema).options(header="true", escape='"', multiLine="false").csv(files))
     return out
 
 
+def _parquet_groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """Parquet sheets in one frame if their schemas merge, else one frame per schema."""
+    try:
+        return [spark.read.option("mergeSchema", "true").parquet(*paths)]
+    except (PySparkException, Py4JJavaError) as error:
+        if "MERGE" not in str(error):
+            raise
+    groups: dict[str, list[str]] = {}
+    for r in spark.read.format("binaryFile").load(paths).select("path").orderBy("path").collect():
+        groups.setdefault(spark.read.parquet(r["path"]).schema.json(), []).append(r["path"])
+    return [spark.read.parquet(*files) for files in groups.values()]
+
+
+def scan_sources(spark: SparkSession, paths: list[str] | str, fmt: str = "parquet", sheet_folder: bool = False) -> DataFrame:
+    """Building-ownership rows of many sheets, whatever their headers' order and spelling.
+
+    Columns are found by name (the sheet's header or the library's own name) and read as text
+    first, so ``301.0`` is a number and ``12B`` a house number. ``source`` is the sheet's name:
+    that of the file, or of its folder (``sheet_folder``, also ``sheet=NAME``) where a sheet is a
+    folder of part files. ``kommune_name`` comes from the sheet's name unless a column has it;
+    ``row_no`` from a column, else it numbers the rows of a source by (part file, row). A
+    sheet without a required column is an error.
+    """
+    many = [paths] if isinstance(paths, str) else list(paths)
+    groups = _csv_groups(spark, many) if fmt == "csv" else _parquet_groups(spark, many)
+    parts = []
+    for df in groups:
+        path = F.col("_metadata.file_path")
+        sheet = F.regexp_extract(path, r"([^/]*)/[^/]*$", 1) if sheet_folder else F.regexp_extract(path, r"([^/]*)$", 1)
+        sheet = F.regexp_replace(F.url_decode(F.replace(sheet, F.lit("+"), F.lit("%2B"))), "^[A-Za-z_]+=", "")
+        own = {c.lower(): c for c in df.columns}
+        at = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
+        df = df.withColumns({
+            "source": F.concat(F.lit(SOURCE_PREFIX), sheet), "_path": path, "_block": F.col("_metadata.file_block_start"), "_at": at,
+        })
+        if "row_no" in own:
+            df = df.withColumn("_no", F.col(own["row_no"]).cast("bigint")).drop(own["row_no"])
+        else:
+            df = df.withColumn("_no", F.lit(None).cast("bigint"))
+        name = F.col(own["kommune_name"]).cast("string") if "kommune_name" in own else F.lit(None).cast("string")
+        df = df.withColumn("_name", name).drop(own.get("kommune_name", "_none"))
+        parts.append(conform_sheet(df, ("source", "_path", "_block", "_at", "_no", "_name")))
+    out = stack_sheets(parts)
+    strict = strict_kommune_name(F.regexp_replace("source", "^" + SOURCE_PREFIX, ""))
+    # Text files have no row index: (split, place in the task) orders the rows of a part file.
+    order = Window.partitionBy("source").orderBy("_path", "_block", "_at")
+    if out.where("_no is null").limit(1).count():
+        out = out.withColumn("_no", F.coalesce("_no", F.row_number().over(order).cast("bigint") - 1))
+    return out.select(
+        F.col("_no").alias("row_no"), "source", F.coalesce("_name", strict).alias("kommune_name"),
+        *[F.col(f"`{c}`") for c in out.columns if c not in ("source", "_path", "_block", "_at", "_no", "_name")],
+    )
+
+
 def conform(df: DataFrame) -> DataFrame:
     """Add every report column that is absent as a typed null (schema union)."""
     missing = {c: F.lit(None).cast(t) for c, t in REPORT_COLUMNS.items() if c not in df.columns}
@@ -147,20 +163,23 @@ def with_dense_id(
     return out.select("id", *[c for c in df.columns if c != "id"])
 
 
-def load_report(data: DataFrame, dedup: DataFrame) -> DataFrame:
-    """Per source rows loaded, duplicates removed, addresses backfilled; plus a total row."""
+def load_report(data: DataFrame, dedup: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Per source rows loaded, duplicates removed, addresses backfilled; plus a total row.
+
+    ``sources`` (column source) lists every source of the load, so that one without a loaded row
+    is reported too; without it the sources of ``data`` are taken.
+    """
+    names = (data if sources is None else sources).select("source").distinct()
     before = data.groupBy("source").agg(F.count(F.lit(1)).alias("_before"))
     after = dedup.groupBy("source").agg(
-        F.count(F.lit(1)).alias("rows_loaded"),
-        F.count(F.when(F.col("alt_adresser_fra_knr_gnr_bnr"), F.lit(1))).alias("alt_address_backfilled"),
-    )
-    per = after.join(before, "source").select(
-        "source", "rows_loaded", (F.col("_before") - F.col("rows_loaded")).alias("duplicates_removed"), "alt_address_backfilled"
+        F.count(F.lit(1)).alias("_loaded"),
+        F.count(F.when(F.col("alt_adresser_fra_knr_gnr_bnr"), F.lit(1))).alias("_filled"),
     )
+    per = names.join(before, "source", "left").join(after, "source", "left").na.fill(0, ["_before", "_loaded", "_filled"])
     return per.rollup("source").agg(
-        F.sum("rows_loaded").alias("rows_loaded"),
-        F.sum("duplicates_removed").alias("duplicates_removed"),
-        F.sum("alt_address_backfilled").alias("alt_address_backfilled"),
+        F.sum("_loaded").alias("rows_loaded"),
+        F.sum(F.col("_before") - F.col("_loaded")).alias("duplicates_removed"),
+        F.sum("_filled").alias("alt_address_backfilled"),
     )
 
 

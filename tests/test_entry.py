@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from muniprop.fixtures import DRIVER_TABLES
 from muniprop.plans import sqlapi
 
-ROWS_ONLY = {"q03_list_tables"}
+ROWS_ONLY: set[str] = set()
 
 
 def _norm(v):
@@ -72,8 +72,8 @@ def spark_text_check(spark):
         # the Column rule and the Python rule agree on ASCII whitespace statements
         if any(ch.isspace() and ch not in " \t\n\x0b\f\r" for ch in text):
             return
-        got = spark.createDataFrame([(text,)], "s string").select(sqlapi.gate_verdict(F.col("s"))).first()[0]
-        assert got == ("write" if sqlapi.is_write_statement(text) else "read")
+        got = spark.createDataFrame([(text,)], "s string").select(sqlapi.verdict_of(F.col("s"))).first()[0]
+        assert got == ("read" if sqlapi.only_reads(text) else "write")
 
     return check
 
@@ -82,8 +82,11 @@ def test_bounded_query_truncation(spark, sf_dir):
     for t in ("nation",):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     res = sqlapi.bounded_query(spark, "SELECT * FROM nation WHERE n_nationkey >= ?", [0], limit=10)
-    assert res.frame.count() == 10
-    assert res.truncated.first()["truncated"] is True
+    got = res.frame.collect()
+    assert res.columns == ["n_nationkey", "n_name", "n_regionkey"]
+    assert len(got) == 10 and all(r["truncated"] and r["row_count"] == 10 for r in got)
+    every = sqlapi.bounded_query(spark, "SELECT * FROM nation").frame.collect()
+    assert len(every) == 25 and not any(r["truncated"] for r in every)
     with pytest.raises(PermissionError):
         sqlapi.bounded_query(spark, "WITH x AS (SELECT 1) INSERT INTO nation SELECT * FROM x")
     with pytest.raises(ValueError):

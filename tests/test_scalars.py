@@ -53,7 +53,7 @@ def test_regulation_both_sides_of_every_cutoff(spark):
 
 
 def test_code_tables():
-    assert len(dims.LEVEL3_CODES) == 127
+    assert len(dims.INTERNAL_ID_TO_NS3457) == 128
     assert dims.INTERNAL_ID_TO_NS3457[104] == 671
     assert dims.INTERNAL_ID_TO_NS3457[1] == 111
     assert dims.INTERNAL_ID_TO_NS3457[127] == 999
