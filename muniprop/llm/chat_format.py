@@ -44,48 +44,45 @@ EXTRA_CONVERSATION = "\\### Assistant: </turn> ok"  # the contract's conversatio
 
 def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(node, root, depth, total) of every node that reaches a root, and the pointer tables
-    (node, up) by power of two. ``nodes``: node, parent, score."""
+    (node, up) by power of two. ``nodes``: node, parent, score.
+
+    Round k joins only the nodes that still have an ancestor 2^k steps up; the others are done
+    and are only looked up.
+    """
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    start = nodes.join(known, "parent", "left").select(
-        "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(0).cast("bigint").alias("depth"),
+    up = F.when(F.col("there"), F.col("parent"))
+    state = nodes.join(known, "parent", "left").select(
+        "node", up.alias("up"), F.when(up.isNull(), F.col("node")).alias("root"), up.isNotNull().cast("bigint").alias("depth"),
         F.coalesce("score", F.lit(0.0)).cast("double").alias("total"),
     )
-    state = stage(start.select("node", "up", F.col("up").isNotNull().cast("bigint").alias("depth"), "total"), "tree-0")
-    limit = rounds_for(max(2, nodes.count())) + 1
-    jumps = []
-    for k in range(limit):
-        # state: ``up`` is the ancestor 2^k steps above (null past the root), ``total`` the sum
-        # over the node and the ancestors below ``up``.
-        if state.where("up is not null").limit(1).count() == 0:
+    done, jumps = None, []
+    for k in range(rounds_for(max(2, nodes.count())) + 2):
+        # state: ``up`` is the ancestor 2^k steps above (null past the root), ``depth`` the steps
+        # to it, ``total`` the sum over the node and the ancestors below ``up``.
+        state = stage(state, f"tree-{k}")
+        ended = state.where("up is null")
+        done = ended if done is None else done.unionByName(ended)
+        state = state.where("up is not null")
+        if state.limit(1).count() == 0:
             break
-        jumps.append(state.where("up is not null").select("node", "up"))
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        state = stage(
-            state.join(above, "up", "left").select(
-                "node", F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-            ),
-            f"tree-{k + 1}",
+        jumps.append(state.select("node", "up"))
+        above = done.unionByName(state).select(
+            F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("d2"),
+            F.col("total").alias("t2"),
+        )
+        state = state.join(above, "up").select(
+            "node", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"),
+            (F.col("total") + F.col("t2")).alias("total"),
         )
     # What still points upwards after log2(n) rounds sits on a cycle.
-    return state.where("up is null").select("node", "depth", "total"), jumps
-
-
-def roots_of(reached: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """(node, root): pointers followed down the powers, each jump taken where it exists."""
-    at = reached.select("node", F.col("node").alias("root"))
-    for k in range(len(jumps) - 1, -1, -1):
-        j = jumps[k].select(F.col("node").alias("root"), F.col("up").alias("next"))
-        at = at.join(j, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return stage(at, "tree-roots")
+    return done.select("node", "root", "depth", "total"), jumps
 
 
-def choose_branches(nodes: DataFrame, reached: DataFrame, jumps: list[DataFrame], keep: int = 1) -> DataFrame:
+def choose_branches(nodes: DataFrame, reached: DataFrame, keep: int = 1) -> DataFrame:
     """(leaf, root, depth, total, rank) of the ``keep`` best branches of each tree: by total
     score, then length, then smallest leaf."""
     inner = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = reached.join(inner, "node", "left_anti").join(roots_of(reached, jumps), "node")
+    leaves = reached.join(inner, "node", "left_anti")
     w = W.partitionBy("root").orderBy(F.col("total").desc(), F.col("depth").desc(), "node")
     ranked = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
     return ranked.select(F.col("node").alias("leaf"), "root", "depth", "total", "rank")
@@ -95,7 +92,7 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """(leaf, root, rank, node, depth) for every node of the chosen branches. Nodes on a cycle,
     or below one, reach no root and are on no path."""
     reached, jumps = climb(nodes)
-    chosen = stage(choose_branches(nodes, reached, jumps, keep), "tree-chosen")
+    chosen = stage(choose_branches(nodes, reached, keep), "tree-chosen")
     on = chosen.select("leaf", "root", "rank", F.col("leaf").alias("node"))
     for j in reversed(jumps):
         # With the highest jump first, every ancestor is met once: its distance in binary.
