@@ -325,7 +325,9 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_ki
     runs = s1.select("rid", F.inline(F.arrays_zip("h", "c", "q")))
     # Buckets with two runs or more, and whether all their chunks are equal.
     shared = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    shared = shared.where("n > 1").select("h", (F.col("low") == F.col("high")).alias("alike"))
+    # Stored first: a join with the aggregate itself would keep its partitions, and a hot anchor
+    # could not be split.
+    shared = stage(shared.where("n > 1").select("h", (F.col("low") == F.col("high")).alias("alike")), "sa-shared")
     hits = stage(runs.join(shared, "h"), "sa-hits")
     kinds = stage(
         hits.where("not alike").groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "q")).alias("one")),
