@@ -139,19 +139,19 @@ def _occupancy_groups(props: DataFrame, facts: DataFrame | None = None) -> DataF
     )
 
 
-def occupancy_distribution(props: DataFrame, limit: int = 30) -> DataFrame:
+def occupancy_distribution(props: DataFrame, limit: int = 30, facts: DataFrame | None = None) -> DataFrame:
     """Categories by area with their share of all categories (share before limit)."""
     limit = bounded_limit(limit, OCCUPANCY_MAX)
-    g = _key_total(_occupancy_groups(props), "total_bruksareal", "_all_area")
+    g = _key_total(_occupancy_groups(props, facts), "total_bruksareal", "_all_area")
     g = g.withColumn("share_percent", pct("total_bruksareal", "_all_area"))
     return _top(g, limit, F.col("total_bruksareal").desc(), F.col("occupancy_category").asc()).select(
         KEY, "rank", "occupancy_category", "building_count", "total_bruksareal", "share_percent"
     )
 
 
-def largest_occupancy(props: DataFrame) -> DataFrame:
+def largest_occupancy(props: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """The category with the largest summed area (count, then name break ties)."""
-    g = _occupancy_groups(props)
+    g = _occupancy_groups(props, facts)
     return _top(
         g, 1, F.col("total_bruksareal").desc(), F.col("building_count").desc(), F.col("occupancy_category").asc()
     ).select(KEY, "occupancy_category", "total_bruksareal", "building_count")

@@ -280,6 +280,24 @@ LEFT JOIN (SELECT kommune_key, COUNT(*) AS n, max(CASE WHEN rank = 1 THEN addres
     "k22_quality_fields": q(METRICS, K22, select="SELECT * FROM k22"),
     "k23_quality_score": q(METRICS, K23, select="SELECT * FROM k23"),
     "k24_quality_gaps": q(METRICS, K22, select=f"SELECT * FROM k22 WHERE completeness_percent < {QUALITY_GAP_BELOW}"),
+    "k25_lists": q(
+        METRICS, K09, K12, K14, K16, K17, K19, K21, K22,
+        select="\nUNION ALL\n".join(
+            f"SELECT kommune_key, '{name}' AS list, CAST({rank} AS BIGINT) AS rank, concat_ws('|', {fields}) AS content FROM {cte}"
+            for name, cte, rank, fields in (
+                ("problematic_properties", "k16", "rank", "kommune, address_label, occupancy_category, bygningsstatus, tek_standard, CAST(total_bruksareal AS BIGINT)"),
+                ("large_risk_schedule", "k17", "rank", "kommune, address_label, occupancy_category, bygningsstatus, tek_standard, CAST(total_bruksareal AS BIGINT)"),
+                ("heritage_rows", "k19", "rank", "kommune, address_label, occupancy_category, CAST(total_bruksareal AS BIGINT), har_sefrakminne, har_kulturminne, skjermingsverdig"),
+                ("tenant_top_rows", "k21", "rank", "kommune, address_label, occupancy_category, antall_underenheter, CAST(total_bruksareal AS BIGINT), antall_eiere, underenheter"),
+                ("quality_fields", "k22", "field_order", "field, label, present_count, missing_count"),
+                ("quality_gaps", f"k22 WHERE completeness_percent < {QUALITY_GAP_BELOW}", "field_order", "field, label"),
+                ("top_categories_by_area", "k09 WHERE rank <= 10", "rank", "occupancy_category, building_count, CAST(total_bruksareal AS BIGINT)"),
+                ("by_category", "k09", "rank", "occupancy_category, building_count, CAST(total_bruksareal AS BIGINT)"),
+                ("status_distribution", "k14", "rank", "val, property_count, CAST(total_bruksareal AS BIGINT)"),
+                ("tek_distribution", "k12", "rank", "val, property_count, CAST(total_bruksareal AS BIGINT)"),
+            )
+        ),
+    ),
     "k27_cumulative_share": q(
         METRICS, K07,
         select="""SELECT kommune_key, rank, address_label, total_bruksareal,

@@ -7,6 +7,8 @@ nested as rank-ordered ``array<struct>`` columns.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +19,30 @@ from muniprop.session import materialize
 KEY = R.KEY
 
 
-def underwriting_package(props: DataFrame) -> DataFrame:
+class Facts(NamedTuple):
+    """The two fused aggregates that feed most sections: small (one row per municipality, or per
+    municipality and value), stored once, each one scan of ``properties``."""
+
+    metrics: DataFrame
+    groups: DataFrame
+
+
+def package_facts(props: DataFrame) -> Facts:
+    props = R.with_key(props)
+    return Facts(materialize(R.key_metrics(props), "key-metrics"), materialize(R.grouped_facts(props), "grouped-facts"))
+
+
+def underwriting_package(props: DataFrame, kommune: str | None = None, facts: Facts | None = None) -> DataFrame:
     """Exposure, occupancy mix, age/standard, status, large risks, heritage, tenants,
-    data quality - all sections for every municipality."""
+    data quality - all sections for every municipality, or for ``kommune`` alone.
+
+    For one municipality the portfolio totals still come from the whole table (``facts``, which
+    may be kept and passed again); the detail lists read its partition folder only.
+    """
     props = R.with_key(props)
-    # The two fused aggregates are small (one row per municipality, or per municipality and
-    # value) and feed many sections; stored once, each is one scan of ``properties`` instead
-    # of one per consumer (Spark does not reuse them across differently pruned consumers).
-    m = materialize(R.key_metrics(props), "key-metrics")
-    facts = materialize(R.grouped_facts(props), "grouped-facts")
+    m, facts = facts or package_facts(props)
+    if kommune is not None:
+        props = R.for_kommune(props, kommune)
     mix = R.occupancy_mix(props, 30, facts)
     status = R.status_distribution(props, facts=facts)
     fields = R.quality_fields(props, m)
@@ -49,12 +66,16 @@ def underwriting_package(props: DataFrame) -> DataFrame:
         ),
         R._nest(status, "status_distribution", ["bygningsstatus", "property_count", "total_bruksareal", "property_share_percent", "area_share_percent"]),
         R._nest(R.problem_statuses(status), "problematic_statuses", ["bygningsstatus"]),
-        R._nest(R.problem_properties(props), "problematic_properties", ["address_label", "occupancy_category", "bygningsstatus", "total_bruksareal"]),
-        R._nest(R.large_risks(props), "large_risk_schedule", ["address_label", "occupancy_category", "bygningsstatus", "tek_standard", "total_bruksareal"]),
-        R._nest(R.heritage_rows(props), "heritage_rows", ["address_label", "occupancy_category", "total_bruksareal"]),
-        R._nest(R.tenant_top(props), "tenant_top_rows", ["address_label", "antall_underenheter", "total_bruksareal"]),
-        R._nest(fields.withColumnRenamed("field_order", "rank"), "quality_fields", ["field", "present_count", "missing_count", "completeness_percent"]),
+        R._nest(R.problem_properties(props), "problematic_properties", ["kommune", "address_label", "occupancy_category", "bygningsstatus", "tek_standard", "total_bruksareal"]),
+        R._nest(R.large_risks(props), "large_risk_schedule", ["kommune", "address_label", "occupancy_category", "bygningsstatus", "tek_standard", "total_bruksareal"]),
+        R._nest(R.heritage_rows(props), "heritage_rows", ["kommune", "address_label", "occupancy_category", "total_bruksareal", "har_sefrakminne", "har_kulturminne", "skjermingsverdig"]),
+        R._nest(R.tenant_top(props), "tenant_top_rows", ["kommune", "address_label", "occupancy_category", "antall_underenheter", "total_bruksareal", "antall_eiere", "underenheter"]),
+        R._nest(fields.withColumnRenamed("field_order", "rank"), "quality_fields", ["field", "label", "present_count", "missing_count", "completeness_percent"]),
+        R._nest(R.quality_gaps(fields).withColumnRenamed("field_order", "rank"), "quality_gaps", ["field", "label", "completeness_percent"]),
+        R._nest(R.top_by_area(mix), "top_categories_by_area", ["occupancy_category", "building_count", "total_bruksareal"]),
     ]
+    if kommune is not None:
+        sections = [R.for_kommune(s, kommune) for s in sections]
     return R.merge_on_key(sections)
 
 
@@ -109,9 +130,9 @@ def flatten_package(pkg: DataFrame) -> DataFrame:
     )
 
 
-def insights_distribution(props: DataFrame, limit: int = 30) -> DataFrame:
+def insights_distribution(props: DataFrame, limit: int = 30, facts: DataFrame | None = None) -> DataFrame:
     """K26 distribution: K01 rows with the share recomputed over the returned rows only."""
-    d = R.occupancy_distribution(props, limit)
+    d = R.occupancy_distribution(props, limit, facts)
     tot = F.sum("total_bruksareal").over(Window.partitionBy(KEY))
     return d.withColumn(
         "share_percent",
@@ -122,9 +143,10 @@ def insights_distribution(props: DataFrame, limit: int = 30) -> DataFrame:
 def insights_package(props: DataFrame, limit: int = 30) -> DataFrame:
     """Distribution (recomputed share) + largest category + K25, per municipality."""
     props = R.with_key(props)
-    dist = R._nest(insights_distribution(props, limit), "occupancy_distribution", ["occupancy_category", "building_count", "total_bruksareal", "share_percent"])
-    largest = R.largest_occupancy(props).select(
+    facts = package_facts(props)
+    dist = R._nest(insights_distribution(props, limit, facts.groups), "occupancy_distribution", ["occupancy_category", "building_count", "total_bruksareal", "share_percent"])
+    largest = R.largest_occupancy(props, facts.groups).select(
         KEY,
         F.struct("occupancy_category", "total_bruksareal", "building_count").alias("largest_occupancy"),
     )
-    return R.merge_on_key([dist, largest, underwriting_package(props)])
+    return R.merge_on_key([dist, largest, underwriting_package(props, facts=facts)])

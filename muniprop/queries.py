@@ -7,6 +7,7 @@ with the DuckDB oracles; the library functions themselves return the nested form
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from muniprop import fixtures as fx
 from muniprop.operators import reports as R
 from muniprop.plans import package as P
+from muniprop.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -88,6 +90,37 @@ def k25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.flatten_package(P.underwriting_package(props(spark, sf_dir)))
 
 
+# Lists of the package whose whole contents the oracle compares, with the fields in order.
+K25_LISTS = {
+    "problematic_properties": ("kommune", "address_label", "occupancy_category", "bygningsstatus", "tek_standard", "total_bruksareal"),
+    "large_risk_schedule": ("kommune", "address_label", "occupancy_category", "bygningsstatus", "tek_standard", "total_bruksareal"),
+    "heritage_rows": ("kommune", "address_label", "occupancy_category", "total_bruksareal", "har_sefrakminne", "har_kulturminne", "skjermingsverdig"),
+    "tenant_top_rows": ("kommune", "address_label", "occupancy_category", "antall_underenheter", "total_bruksareal", "antall_eiere", "underenheter"),
+    "quality_fields": ("field", "label", "present_count", "missing_count"),
+    "quality_gaps": ("field", "label"),
+    "top_categories_by_area": ("occupancy_category", "building_count", "total_bruksareal"),
+    "by_category": ("occupancy_category", "building_count", "total_bruksareal"),
+    "status_distribution": ("bygningsstatus", "property_count", "total_bruksareal"),
+    "tek_distribution": ("tek_standard", "property_count", "total_bruksareal"),
+}
+
+
+@register("k25_lists")
+def k25_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of the package's lists as a row (municipality, list, rank, content)."""
+    pkg = materialize(P.underwriting_package(props(spark, sf_dir)), "k25-lists")
+
+    def text(entry, f):
+        return entry[f].cast("bigint").cast("string") if f == "total_bruksareal" else entry[f].cast("string")
+
+    parts = []
+    for name, fields in K25_LISTS.items():
+        rows = pkg.select(R.KEY, F.explode(name).alias("e"))
+        content = F.concat_ws("|", *[text(F.col("e"), f) for f in fields])
+        parts.append(rows.select(R.KEY, F.lit(name).alias("list"), F.col("e.rank").cast("bigint").alias("rank"), content.alias("content")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("k26_insights_package")
 def k26(spark: SparkSession, sf_dir: str) -> DataFrame:
     pkg = P.insights_package(props(spark, sf_dir))

@@ -135,6 +135,18 @@ def test_cumulative_share_without_area(spark):
     assert {r["cumulative_share_percent"] for r in R.cumulative_share(top).collect()} == {0.0}
 
 
+def test_package_of_one_municipality(spark, sf_dir):
+    from muniprop.plans import package as P
+
+    props = R.with_key(fx.fx_props(spark, sf_dir)).cache()
+    facts = P.package_facts(props)
+    whole = P.underwriting_package(props, facts=facts)
+    one_key = props.where("kommune_key is not null").select("kommune_key").first()[0]
+    got = P.underwriting_package(props, kommune=one_key, facts=facts).toJSON().collect()
+    assert got == whole.where(F.col("kommune_key") == one_key).toJSON().collect() and len(got) == 1
+    assert json.loads(got[0])["area_share_percent"] < 50  # of the whole portfolio
+
+
 def test_fingerprints_tell_rows_apart(spark):
     prints = lambda rows, schema: H.fingerprint(spark.createDataFrame(rows, schema)).first()["fingerprint"]
     different = [
