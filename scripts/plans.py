@@ -24,7 +24,7 @@ from muniprop.session import local_session  # noqa: E402
 
 MARKERS = (
     "Scan parquet", "PartitionFilters", "PushedFilters", "ReadSchema", "Exchange", "WindowGroupLimit",
-    "BroadcastHashJoin", "BroadcastExchange", "SortMergeJoin", "HashAggregate", "Expand", "Window ",
+    "BroadcastHashJoin", "BroadcastExchange", "SortMergeJoin", "HashAggregate", "SortAggregate", "Sort ", "Expand", "Window ",
     "Union", "Generate", "WholeStageCodegen",
 )
 
