@@ -217,7 +217,9 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def rows_and_components(docs: DataFrame, doc_id: str, text: str, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Staged (doc_id, fp) of every row and (fp, component_id) of every fingerprint."""
+    """Staged (doc_id, fp) of every row and (fp, root, component_id) of every fingerprint. The
+    root (a fingerprint) names a component; its component_id is null if all its ids are, and two
+    components share it if one id is the smallest of both."""
     rows = stage(with_fingerprints(docs, doc_id, text), "simhash-fp")
     points = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-points")
     roots = connected_components(fingerprint_links(points.select("fp"), bits))
@@ -225,7 +227,7 @@ def rows_and_components(docs: DataFrame, doc_id: str, text: str, bits: int) -> t
         "root", F.coalesce("root", "fp")
     )
     small = tagged.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows, stage(tagged.join(small, "root").select("fp", "component_id"), "simhash-components")
+    return rows, stage(tagged.join(small, "root").select("fp", "root", "component_id"), "simhash-components")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
@@ -235,21 +237,23 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component: the one with the smallest id (of several rows with that id,
-    the one with the smallest text; of wholly equal ones any)."""
-    key, n, fp, component, rn = fresh(docs.columns, "sh_key", "sh_n", "sh_fp", "sh_component", "sh_rn")
+    """One row of each component: the one with the smallest id, null ids last (of several rows
+    with that id, the one with the smallest text; of wholly equal ones any)."""
+    key, n, fp, component, root, rn = fresh(docs.columns, "sh_key", "sh_n", "sh_fp", "sh_component", "sh_root", "sh_rn")
     rows, by_fp = rows_and_components(docs.select(doc_id, text), doc_id, text, bits)
-    first = rows.join(by_fp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
+    # Ids that are the smallest of a component, with all rows that carry them in any component.
+    smallest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.join(by_fp, "fp").groupBy(F.col("doc_id").alias(key))
+    first = first.agg(F.count(F.lit(1)).alias(n), F.max(smallest).alias(component)).where(F.col(component)).drop(component)
     j = docs.join(first, F.col(doc_id).cast("bigint").eqNullSafe(F.col(key)))
     once = j.where(F.col(n) == 1)
     # An id on several rows: those rows alone are fingerprinted again to tell their components.
     print_of = F.pandas_udf(lambda texts: texts.map(fingerprint), "bigint")
     again = j.where(F.col(n) > 1).withColumn(fp, print_of(F.col(text).cast("string")))
-    again = again.join(by_fp.select(F.col("fp").alias(fp), F.col("component_id").alias(component)), fp)
-    again = again.where(F.col(component).eqNullSafe(F.col(key)))
-    again = again.withColumn(rn, F.row_number().over(W.partitionBy(component).orderBy(text))).where(F.col(rn) == 1)
-    every = once.unionByName(again.drop(fp, component, rn))
+    named = by_fp.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component))
+    again = again.join(named, fp).where(F.col(component).eqNullSafe(F.col(key)))
+    again = again.withColumn(rn, F.row_number().over(W.partitionBy(root).orderBy(text))).where(F.col(rn) == 1)
+    every = once.unionByName(again.drop(fp, component, root, rn))
     return every.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

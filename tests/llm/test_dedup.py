@@ -148,6 +148,17 @@ def test_simhash_edges(edge_docs, no_docs):
     assert S.components(no_docs).count() == 0 and S.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_without_unique_ids(spark):
+    """Null ids in several components, one id as the smallest of two, and an id on rows of a
+    component that has a smaller one."""
+    rng = random.Random(12)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (None, None), (5, c), (5, d), (6, d), (7, d), (5, e), (2, e), (9, f), (None, f)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, at int").repartition(4)
+    kept = sorted(((r["doc_id"], r["text"]) for r in S.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(None, a), (None, b), (None, None), (5, c), (5, d), (2, e), (9, f)], key=repr)
+
+
 def test_vantage_shards_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(S, "SHARD_POINTS", 40)
     monkeypatch.setattr(S, "LEAF", 8)
