@@ -3,7 +3,9 @@
 Pass 1 scores the containers of every page: a container is an element outside menus, headers,
 footers, sidebars, adverts, notices, forms, scripts and comments; its score is the text of the
 blocks below it that is not inside links, halved for every level between. The page votes for
-the generalised tag-class path (digits cut from class names) of its best container. Votes are
+the generalised tag-class path (digits cut from class names) of its best container, lifted to the
+outermost article or main around it or, without one, to the highest container that adds a part
+with under half of its text in links: what stands beside the best container belongs to the article. Votes are
 summed per host in Spark, and pass 2 extracts every page again with the winning path of its
 host; a page without an element on that path uses its own best container.
 
@@ -170,9 +172,10 @@ class Page:
         self.flush()
 
     def best_path(self) -> tuple[str, int] | None:
-        """Path of the best container and its text's length."""
+        """Path of the best container, lifted to the whole article, and its text's length."""
         score: dict[int, float] = defaultdict(float)
         chars: dict[int, int] = defaultdict(int)
+        links: dict[int, int] = defaultdict(int)
         at: dict[int, Element] = {}
         for text, linked, e in self.blocks:
             if e.out:
@@ -184,12 +187,31 @@ class Page:
                 at[e.number] = e
                 score[e.number] += share
                 chars[e.number] += len(text)
+                links[e.number] += linked
                 share /= 2
                 e = e.parent
         if not score:
             return None
         top = max(score, key=lambda n: (score[n], n))
-        return at[top].path, chars[top]
+        # Up to the outermost article or main; without one, to the highest container that adds a part
+        # (its own blocks, or a container in it) with under half of the text inside links.
+        inside: dict[int, list[int]] = defaultdict(list)
+        for n, e in at.items():
+            if e.parent is not None:
+                inside[e.parent.number].append(n)
+        e = lifted = at[top]
+        marked = e if e.tag in ("article", "main") else None
+        while e.parent is not None:
+            below, e = e.number, e.parent
+            if e.tag in ("article", "main"):
+                marked = e
+            parts = [(chars[n], links[n]) for n in inside[e.number]]
+            own = (chars[e.number] - sum(c for c, _ in parts), links[e.number] - sum(x for _, x in parts))
+            beside = [own, *((chars[n], links[n]) for n in inside[e.number] if n != below)]
+            if any(2 * x < c for c, x in beside):
+                lifted = e
+        best = marked or lifted
+        return best.path, chars[best.number]
 
     def extract(self, path: str | None) -> str:
         """Blocks inside the elements on ``path`` (everything outside boilerplate for an empty

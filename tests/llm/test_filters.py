@@ -115,6 +115,31 @@ def test_html_consensus_and_edges(spark):
     assert H.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("inner", [
+    "<h1>{h}</h1><div class=body><p>{l}</p></div>",
+    "<section class=intro><p>{s}</p></section><section class=details><p>{l}</p></section>",
+    "<p>{s}</p><table><tbody><tr><td>{l}<td>{l}<tr><td>{l}</table><p>{h}</p>",
+    "<p>{s}</p><ul><li>{l}<li>{l}</ul><p>{h}</p>",
+])
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<main>{}</main>", "<div class=post>{}</div>", "{}"])
+def test_html_keeps_what_stands_beside_the_best_container(inner, outer):
+    said = {"h": "Title " * 10, "s": "Intro words. " * 30, "l": "Details of it. " * 70}
+    source = inner.format(**said)
+    links = "<div class=more>" + "<a href=/>Another page</a> " * 8 + "</div>"
+    page = H.Page(f"<html><body><nav><a href=/>Home</a></nav>{outer.format(source)}{links}<footer>End</footer></body></html>")
+    got = page.extract(page.best_path()[0])
+    every = [" ".join(x.split()) for x in re.split(r"<[^>]*>", source) if x.strip()]
+    assert [x for x in got.split("\n\n") if "Another" not in x] == every
+    assert "Home" not in got and "End" not in got
+    if outer != "{}":  # without a container of its own the article is the whole body
+        assert "Another" not in got
+
+
+def test_html_stays_inside_a_marked_article():
+    page = H.Page("<body><div>Slogan of the site</div><article><h1>Title</h1><div><p>" + "Text. " * 99 + "</p></div></article></body>")
+    assert page.extract(page.best_path()[0]) == "Title\n\n" + ("Text. " * 99).strip()
+
+
 def test_html_on_the_table(spark, sf_dir):
     got = {r["page_id"]: r["text"] for r in H.op2_html_extraction(spark, sf_dir).collect()}
     for r in table(spark, sf_dir, "pages").collect():
