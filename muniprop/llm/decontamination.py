@@ -5,8 +5,8 @@ batch: whole documents of bounded total length): words become ids of the benchma
 positions is sorted, two words at a time, to the depth of a window, and every suffix of every test
 item is located in it by binary search. The result is the set of training positions at which a
 test suffix matches verbatim for a whole window (``WINDOW`` words, or the whole of a shorter
-item); overlapping matches of one document are merged into spans, the longest verbatim
-matches. The array is sparse: a training position whose first two words never follow each
+item); overlapping or touching matches of one document, also of different items, are merged into spans
+(so a span need not be verbatim in any one item). The array is sparse: a training position whose first two words never follow each
 other in any test item cannot start a match of two words or more and is left out before the
 sort, so memory and time follow the possible matches, not the corpus.
 
