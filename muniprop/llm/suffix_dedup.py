@@ -22,7 +22,8 @@ suffixes that can matter are dealt to buckets by content, then each bucket is so
 
 Work is done once per distinct text: a text that occurs twice or more is removed as a whole.
 Hashes of 64 bits select buckets, and bucket and chunk hash together (128 bits) stand for equal
-chunks; everything that differs is compared byte by byte.
+chunks; what differs is compared byte by byte, except in buckets of more than ``MAX_KINDS``
+chunks, where hash and 128-bit hash of a window stand for its bytes.
 
 Defined results: null and empty texts and texts under ``WINDOW`` bytes keep all their bytes;
 repeated rows (and rows of equal text) remove each other; null ids are kept; an empty table
