@@ -18,4 +18,4 @@ def test_a_faulty_import_is_raised():
 
 def test_all_are_listed():
     got = run("import __spark_entry__ as e; print(len(e.LLM_QUERIES))")
-    assert got.stdout.split()[-1] == "11", got.stderr
+    assert got.stdout.split()[-1] == "14", got.stderr
