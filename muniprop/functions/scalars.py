@@ -41,6 +41,13 @@ WHITESPACE = "".join(
     map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
 WS_CLASS = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "]"
+# The same for text without other characters, where short classes do (several times faster).
+ASCII_WHITESPACE = "".join(c for c in WHITESPACE if c < "\x80")
+ASCII_WS_CLASS = r"[\t-\r\x1c-\x20]"
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
 
 
 def trim_ws(c: Column | str) -> Column:
@@ -48,9 +55,13 @@ def trim_ws(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 
 
-def collapse_ws(c: Column | str) -> Column:
-    """Collapse whitespace runs to one space and strip the ends."""
-    return trim_ws(F.regexp_replace(col(c), WS_CLASS + "+", " "))
+def collapse_ws(c: Column | str, source: Column | None = None) -> Column:
+    """Collapse whitespace runs to one space and strip the ends. ``source`` is the text that ``c`` is
+    made of, where that is cheaper to look at."""
+    v = col(c)
+    # After the replacement only plain spaces are left at the ends.
+    plain = F.trim(F.regexp_replace(v, ASCII_WS_CLASS + "+", " "))
+    return F.when(is_ascii(v if source is None else source), plain).otherwise(F.trim(F.regexp_replace(v, WS_CLASS + "+", " ")))
 
 
 def duck_round(c: Column | str, digits: int = 2) -> Column:
@@ -96,7 +107,7 @@ def selected_key(c: Column | str) -> Column:
 
 def name_norm(c: Column | str) -> Column:
     """F02b / F03: '_' -> space, collapse whitespace, lower."""
-    return F.lower(collapse_ws(F.replace(col(c), F.lit("_"), F.lit(" "))))
+    return F.lower(collapse_ws(F.replace(col(c), F.lit("_"), F.lit(" ")), col(c)))
 
 
 # ---------------------------------------------------------------- F04 .. F07 parsing
@@ -110,8 +121,7 @@ def present_text(c: Column | str) -> Column:
 
 def list_value_missing(c: Column | str) -> Column:
     """Ownership-list missing markers: null, '', '-', 'nan' / '<na>' in any case."""
-    v = trim_ws(col(c))
-    return col(c).isNull() | (v == "") | (v == "-") | F.lower(v).isin("nan", "<na>")
+    return col(c).isNull() | F.lower(trim_ws(col(c))).isin("", "-", "nan", "<na>")
 
 
 def missing_label(c: Column | str) -> Column:
@@ -121,8 +131,10 @@ def missing_label(c: Column | str) -> Column:
 
 def split_list(c: Column | str) -> Column:
     """split on ';' or ',', strip parts, drop empty parts; missing -> empty array."""
-    # the separator pattern absorbs the whitespace around it, so parts come out stripped
-    parts = F.split(trim_ws(col(c)), f"{WS_CLASS}*[;,]{WS_CLASS}*")
+    v = col(c)
+    pieces = F.split(F.translate(v, ",", ";"), ";")
+    plain = F.transform(pieces, lambda x: F.btrim(x, F.lit(ASCII_WHITESPACE)))
+    parts = F.when(is_ascii(v), plain).otherwise(F.transform(pieces, lambda x: F.btrim(x, F.lit(WHITESPACE))))
     return F.when(list_value_missing(c), F.array().cast("array<string>")).otherwise(
         F.filter(parts, lambda x: x != "")
     )
@@ -136,10 +148,14 @@ def code_ids(c: Column | str) -> Column:
     )
 
 
+def holds_code_zero(c: Column | str) -> Column:
+    """Whether 0 is among the ``code_ids``, without making them."""
+    return col(c).rlike(r"(?<!\d)0+(?!\d)")
+
+
 def parse_percent(c: Column | str) -> Column:
-    """first signed decimal number in the text; missing markers -> null."""
-    num = F.regexp_extract(col(c), r"-?\d+(\.\d+)?", 0)
-    return F.when(list_value_missing(c), F.lit(None).cast("double")).otherwise(F.nullif(num, F.lit("")).try_cast("double"))
+    """first signed decimal number in the text; none (as in every missing marker) -> null."""
+    return F.nullif(F.regexp_extract(col(c), r"-?\d+(\.\d+)?", 0), F.lit("")).try_cast("double")
 
 
 # ---------------------------------------------------------------- F08 .. F15 addresses & keys

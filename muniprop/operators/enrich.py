@@ -35,14 +35,18 @@ def status_included(c: Column | str = "bygningsstatus_kode_id") -> Column:
     return F.coalesce(v.isin(*[float(i) for i in dims.INCLUDED_STATUS_IDS]), F.lit(False))
 
 
-def split_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(included, excluded); without a status column every row is included, also where
-    only the row's own sheet lacks it (``status_absent``)."""
+def included(df: DataFrame) -> Column:
+    """P04 for the rows of ``df``: without a status column every row is included, also where only
+    the row's own sheet lacks it (``status_absent``)."""
     if "bygningsstatus_kode_id" not in df.columns:
-        return df, df.where(F.lit(False))
+        return F.lit(True)
     inc = status_included()
-    if "status_absent" in df.columns:
-        inc = inc | F.coalesce("status_absent", F.lit(False))
+    return inc | F.coalesce("status_absent", F.lit(False)) if "status_absent" in df.columns else inc
+
+
+def split_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(included, excluded)."""
+    inc = included(df)
     return df.where(inc), df.where(~inc)
 
 
@@ -62,51 +66,70 @@ def drop_duplicates_by_flag(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- D01 alternate addresses
 
 
-def _ordered_distinct(values: Column) -> Column:
-    return F.array_distinct(values)  # keeps first occurrences in order
+FLAG = "alt_adresser_fra_knr_gnr_bnr"
+BLANKS = 4096  # join keys of rows that look nothing up
 
 
-def backfill_alt_addresses(df: DataFrame) -> DataFrame:
-    """For rows with a valid cadastre key and no address, append the distinct addresses
-    of the other rows with the same key (same source), in row order; flag those rows."""
-    flag = "alt_adresser_fra_knr_gnr_bnr"
-    if "adressenavn" not in df.columns or "nummer" not in df.columns:
-        return df.withColumn(flag, F.lit(False))
+def can_backfill(df: DataFrame) -> bool:
+    return "adressenavn" in df.columns and "nummer" in df.columns
+
+
+def _lookup_key(df: DataFrame) -> Column:
     if "knr_gnr_bnr" in df.columns:
-        key = trim_ws(F.coalesce(F.col("knr_gnr_bnr").cast("string"), F.lit("")))
-    else:
-        key = cadastre_key("kommunenummer", "gardsnummer", "bruksnummer")
-    cols = df.columns
-    a = df.withColumn("_key", key).withColumn(
-        "_addr", F.coalesce(full_address("adressenavn", "nummer", "postnummer", "poststed"), F.lit(""))
-    )
-    valid = present_text("_key")
-    has_addr = trim_ws("_addr") != ""
-
-    # Distinct (source, key, address) first: map-side partial aggregation collapses a hot key
-    # to at most its distinct addresses per task before anything is shuffled.
-    lookup = (
-        a.where(valid & has_addr)
-        .groupBy("source", "_key", trim_ws("_addr").alias("_a"))
-        .agg(F.min("row_no").alias("_first"))
-        .groupBy("source", "_key")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_a"))), lambda s: s["_a"]).alias("_found"))
-    )
-    need = a.where(valid & ~has_addr)
-    rest = a.where(~(valid & ~has_addr))
+        return trim_ws(F.coalesce(F.col("knr_gnr_bnr").cast("string"), F.lit("")))
+    return cadastre_key("kommunenummer", "gardsnummer", "bruksnummer")
+
+
+def known_addresses(df: DataFrame) -> DataFrame:
+    """(source, _key, found): the distinct addresses of each cadastre key in row order, from the
+    few columns that make them.
+
+    Distinct (source, key, address) first: the partial aggregation collapses a hot key to its
+    distinct addresses per task before anything is shuffled.
+    """
+    a = df.select("source", "row_no", _lookup_key(df).alias("_key"), trim_ws(full_address("adressenavn", "nummer", "postnummer", "poststed")).alias("_a"))
+    first = a.where(present_text("_key") & (F.col("_a") != "")).groupBy("source", "_key", "_a").agg(F.min("row_no").alias("_first"))
+    ordered = F.sort_array(F.collect_list(F.struct("_first", "_a")))
+    return first.groupBy("source", "_key").agg(F.transform(ordered, lambda s: s["_a"]).alias("found"))
+
+
+def look_up_addresses(df: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """``df`` with the column ``name``: the known addresses of a row's key if the row has a valid key
+    and no address of its own, else null.
+
+    One left join, so wide rows are read once. Rows that look nothing up get one of ``BLANKS`` keys
+    that no cadastre key equals: they spread over the tasks instead of meeting under one null.
+    """
+    key = _lookup_key(df)
+    needs = present_text(key) & ~present_text("adressenavn")
+    blank = F.concat(F.lit("\u0000"), F.pmod(F.coalesce("row_no", F.lit(0)), F.lit(BLANKS)).cast("string"))
+    return df.withColumn("_key", F.when(needs, key).otherwise(blank)).join(
+        known.withColumnRenamed("found", name), ["source", "_key"], "left"
+    ).drop("_key")
+
 
-    alt = F.col("alt_adresser") if "alt_adresser" in cols else F.lit(None).cast("string")
+def with_found(df: DataFrame, found: str) -> tuple[Column, Column]:
+    """(alt_adresser, flag): the row's own alternate addresses and those of column ``found``."""
+    alt = F.col("alt_adresser") if "alt_adresser" in df.columns else F.lit(None).cast("string")
     existing = F.when(
         present_text(alt), F.filter(F.transform(F.split(alt, ";"), lambda x: trim_ws(x)), lambda x: x != "")
     ).otherwise(F.array().cast("array<string>"))
-    hit = F.coalesce(F.size("_found"), F.lit(0)) > 0
-    filled = need.join(lookup, ["source", "_key"], "left").select(
-        *[c for c in cols if c != "alt_adresser"],
-        F.when(hit, F.array_join(_ordered_distinct(F.concat(existing, F.col("_found"))), ";")).otherwise(alt).alias("alt_adresser"),
-        hit.alias(flag),
+    hit = F.coalesce(F.size(found), F.lit(0)) > 0
+    every = F.array_distinct(F.concat(existing, F.col(found)))  # keeps first occurrences in order
+    return F.when(hit, F.array_join(every, ";")).otherwise(alt), hit
+
+
+def backfill_alt_addresses(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """For rows with a valid cadastre key and no address, append the distinct addresses of the
+    other rows with the same key (same source), in row order; flag those rows. Addresses come from
+    ``known`` (all rows that count), by default from ``df``."""
+    if not can_backfill(df):
+        return df.withColumn(FLAG, F.lit(False))
+    looked = look_up_addresses(df, known_addresses(df if known is None else known), "_found")
+    alt, hit = with_found(looked, "_found")
+    return looked.withColumns({FLAG: hit, "alt_adresser": alt}).select(
+        *df.columns, *([] if "alt_adresser" in df.columns else ["alt_adresser"]), FLAG
     )
-    untouched = rest.select(*[c for c in cols if c != "alt_adresser"], alt.alias("alt_adresser"), F.lit(False).alias(flag))
-    return untouched.unionByName(filled).select(*cols, *([] if "alt_adresser" in cols else ["alt_adresser"]), flag)
 
 
 # ---------------------------------------------------------------- D02 building blocks

@@ -43,6 +43,8 @@ REPORT_COLUMNS = {
     "underenheter": "string",
 }
 
+BLOCK = 250_000  # row numbers of a source that are written and numbered together
+
 
 def _headers_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """CSV files by their header line. One row per file comes to the driver."""
@@ -124,9 +126,10 @@ def conform(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def build_properties(raw: DataFrame, with_id: bool = True, first_id: int = 0) -> DataFrame:
-    """Dedup rows of the filtered path, labelled with kommune and source, conformed,
-    with the dense ``id`` in load order starting at ``first_id`` (S09)."""
+def build_properties(raw: DataFrame, with_id: bool = False, first_id: int = 0) -> DataFrame:
+    """Dedup rows of the filtered path, labelled with kommune and source, conformed. A stored
+    table gives its rows the ``id`` when it is read (S09, ``read_properties``); ``with_id`` numbers
+    rows that are not stored that way, from ``first_id``."""
     rows = properties_rows(raw).drop("parsed_underenheter")
     rows = rows.withColumn("kommune", source_label(F.col("source")))
     rows = conform(rows).withColumn("kommune_key", kommune_key("kommune"))
@@ -136,7 +139,7 @@ def build_properties(raw: DataFrame, with_id: bool = True, first_id: int = 0) ->
 def with_dense_id(
     df: DataFrame, order: tuple[str, ...] = ("source", "row_no"), partitions: int | None = None, start: int = 0
 ) -> DataFrame:
-    """Zero-based dense ``id`` in load order, without a one-partition window.
+    """Zero-based dense ``id`` in an order, for any frame, without a one-partition window.
 
     Range-partition and sort by the load order, checkpoint (lineage cut, stable partition
     contents), count rows per partition (one small row per partition), prefix-sum those counts
@@ -183,14 +186,36 @@ def load_report(data: DataFrame, dedup: DataFrame, sources: DataFrame | None = N
     )
 
 
+def row_block() -> F.Column:
+    return F.floor(F.col("row_no") / BLOCK).cast("bigint")
+
+
 def write_properties(props: DataFrame, path: str) -> None:
-    """S08 sink: full rebuild, partitioned by municipality.
+    """S08 sink: full rebuild, partitioned by municipality, sorted by (source, row_no) in each file.
 
-    ``REBALANCE(kommune_key)`` groups each municipality's rows into few writers (few files
-    per folder) while AQE splits a hot municipality over several tasks and merges small ones.
+    One shuffle by (municipality, source, block of ``BLOCK`` row numbers): a group has at most
+    ``BLOCK`` rows, so a hot municipality or source is spread over as many writers as it needs, and
+    every block lies in one file, in order. No sampling, so the plan above runs once.
     """
-    props.hint("rebalance", "kommune_key").write.mode("overwrite").partitionBy("kommune_key").parquet(path)
+    block = F.col("_block")
+    rows = props.withColumn("_block", row_block()).repartition("kommune_key", "source", block)
+    rows.sortWithinPartitions("kommune_key", "source", "row_no").drop("_block").write.mode("overwrite").partitionBy("kommune_key").parquet(path)
+
+
+def with_stored_ids(stored: DataFrame, start: int = 0) -> DataFrame:
+    """The rows of a table that ``write_properties`` wrote, with the dense ``id`` in load order
+    (source, row_no): the rows before a block (a running sum of one small row per block) plus the
+    place in the file where the block's row lies."""
+    rows = stored.withColumns({"_at": F.col("_metadata.row_index"), "_block": row_block()})
+    blocks = rows.groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("source", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        F.col("source").alias("_s"), F.col("_block").alias("_b"), (F.lit(start) + F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off")
+    )
+    out = rows.join(blocks, rows["source"].eqNullSafe(blocks["_s"]) & rows["_block"].eqNullSafe(blocks["_b"]))
+    return out.select((F.col("_off") + F.col("_at")).alias("id"), *[c for c in stored.columns if c != "id"])
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The stored table with its ids. (Reports that need none read the path itself.)"""
+    return with_stored_ids(spark.read.parquet(path))

@@ -40,7 +40,7 @@ def _store_batch(target: str):
         rows = rows.withColumns({"_no": F.coalesce(no, F.row_number().over(order).cast("bigint") - 1), "_name": F.coalesce(name, strict)})
         sheet = conform_sheet(rows.drop("row_no", "kommune_name", "_path", "_at"), ("_no", "_name", "source"))
         sheet = sheet.withColumnsRenamed({"_no": "row_no", "_name": "kommune_name"})
-        props = build_properties(sheet, first_id=first)
+        props = build_properties(sheet, with_id=True, first_id=first)
         props.hint("rebalance", "kommune_key").write.mode("overwrite").partitionBy("kommune_key").parquet(f"{target}/batch={batch_id}")
 
     return run
