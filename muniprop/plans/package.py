@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muniprop.functions.scalars import duck_round
@@ -20,35 +20,52 @@ KEY = R.KEY
 
 
 class Facts(NamedTuple):
-    """The two fused aggregates that feed most sections: small (one row per municipality, or per
-    municipality and value), stored once, each one scan of ``properties``."""
+    """All that the packages need of ``properties``, each one scan of it, stored once: one row per
+    municipality, one per municipality and value, and the bounded detail lists."""
 
     metrics: DataFrame
     groups: DataFrame
+    lists: DataFrame
 
 
-def package_facts(props: DataFrame) -> Facts:
+def package_facts(props: DataFrame, path: str | None = None) -> Facts:
+    """The facts of ``props``; with ``path`` they are kept there for ``read_facts``, so that packages
+    of single municipalities need no scan of the whole table."""
     props = R.with_key(props)
-    return Facts(materialize(R.key_metrics(props), "key-metrics"), materialize(R.grouped_facts(props), "grouped-facts"))
+    made = Facts(R.key_metrics(props), R.grouped_facts(props), R.detail_lists(props))
+    if path is None:
+        return Facts(*[materialize(f, f"facts-{name}") for name, f in zip(Facts._fields, made, strict=True)])
+    for name, f in zip(Facts._fields, made, strict=True):
+        f.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+    return read_facts(props.sparkSession, path)
+
+
+def read_facts(spark: SparkSession, path: str) -> Facts:
+    return Facts(*[spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in Facts._fields])
 
 
 def underwriting_package(props: DataFrame, kommune: str | None = None, facts: Facts | None = None) -> DataFrame:
     """Exposure, occupancy mix, age/standard, status, large risks, heritage, tenants,
     data quality - all sections for every municipality, or for ``kommune`` alone.
 
-    For one municipality the portfolio totals still come from the whole table (``facts``, which
-    may be kept and passed again); the detail lists read its partition folder only.
+    ``properties`` is read for ``facts`` only, in three scans; facts that were kept are passed in.
     """
     props = R.with_key(props)
-    m, facts = facts or package_facts(props)
+    m, facts, lists = facts or package_facts(props)
     if kommune is not None:
-        props = R.for_kommune(props, kommune)
+        lists = R.for_kommune(lists, kommune)
     mix = R.occupancy_mix(props, 30, facts)
     status = R.status_distribution(props, facts=facts)
     fields = R.quality_fields(props, m)
 
     sections = [
-        R.exposure_dashboard(props, 10, m, facts),
+        R.selected_totals(props, m),
+        R.nested_lists(lists, m),
+        R._nest(
+            R.by_kommune(props, facts=facts),
+            "by_kommune",
+            ["kommune", "property_count", "total_bruksareal", "property_share_percent", "area_share_percent", "is_selected"],
+        ),
         R.heritage_summary(props, 50, m),
         R.tenant_summary(props, m).drop("total_properties"),
         R.quality_score(props, m),
@@ -66,10 +83,6 @@ def underwriting_package(props: DataFrame, kommune: str | None = None, facts: Fa
         ),
         R._nest(status, "status_distribution", ["bygningsstatus", "property_count", "total_bruksareal", "property_share_percent", "area_share_percent"]),
         R._nest(R.problem_statuses(status), "problematic_statuses", ["bygningsstatus"]),
-        R._nest(R.problem_properties(props), "problematic_properties", ["kommune", "address_label", "occupancy_category", "bygningsstatus", "tek_standard", "total_bruksareal"]),
-        R._nest(R.large_risks(props), "large_risk_schedule", ["kommune", "address_label", "occupancy_category", "bygningsstatus", "tek_standard", "total_bruksareal"]),
-        R._nest(R.heritage_rows(props), "heritage_rows", ["kommune", "address_label", "occupancy_category", "total_bruksareal", "har_sefrakminne", "har_kulturminne", "skjermingsverdig"]),
-        R._nest(R.tenant_top(props), "tenant_top_rows", ["kommune", "address_label", "occupancy_category", "antall_underenheter", "total_bruksareal", "antall_eiere", "underenheter"]),
         R._nest(fields.withColumnRenamed("field_order", "rank"), "quality_fields", ["field", "label", "present_count", "missing_count", "completeness_percent"]),
         R._nest(R.quality_gaps(fields).withColumnRenamed("field_order", "rank"), "quality_gaps", ["field", "label", "completeness_percent"]),
         R._nest(R.top_by_area(mix), "top_categories_by_area", ["occupancy_category", "building_count", "total_bruksareal"]),
