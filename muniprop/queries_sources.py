@@ -137,13 +137,13 @@ def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("s08_properties")
 def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SP.build_properties(fx.fx_raw(spark, sf_dir)).select("row_no", "source", "kommune", "kommune_key", "adresse")
+    return SP.build_properties(fx.fx_raw(spark, sf_dir), with_id=False).select("row_no", "source", "kommune", "kommune_key", "adresse")
 
 
 @register("s09_row_id")
 def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"s09-{uuid.uuid4().hex}")
-    SP.write_properties(SP.build_properties(fx.fx_raw(spark, sf_dir)), path)
+    SP.load_properties(fx.fx_raw(spark, sf_dir), path)
     return SP.read_properties(spark, path).select("id", "source", "row_no")
 
 

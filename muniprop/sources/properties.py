@@ -7,19 +7,17 @@ layout that already separates municipalities.
 
 from __future__ import annotations
 
-import csv
-
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from muniprop.functions.scalars import kommune_key
 from muniprop.plans.pipeline import properties_rows
 from muniprop.session import ensure_checkpoint_dir, materialize
 from muniprop.sources.manifest import SOURCE_PREFIX, source_label, strict_kommune_name
-from muniprop.sources.sheet_columns import conform_sheet, stack_sheets
+from muniprop.sources.sheet_columns import SHEET_HEADERS, conform_sheet, read_as, stack_sheets
+from muniprop.sources.sheets import read_sheets
 
 # Columns every report reads; absent ones are added as typed nulls.
 REPORT_COLUMNS = {
@@ -46,90 +44,74 @@ REPORT_COLUMNS = {
 BLOCK = 250_000  # row numbers of a source that are written and numbered together
 
 
-def _headers_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """CSV files by their header line. One row per file comes to the driver."""
-    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    first = lines.where("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
-    files: dict[str, list[str]] = {}
-    for r in first.groupBy("file_path").agg(F.min_by("value", "at").alias("header")).orderBy("file_path").collect():
-        files.setdefault(r["header"], []).append(r["file_path"])
-    return files
-
-
-def _csv_groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
-    """CSV sheets read by name: one frame per distinct header, all values as text."""
-    out = []
-    for header, files in _headers_of(spark, paths).items():
-        names = next(csv.reader([header.lstrip("\ufeff")]))
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        out.append(spark.read.schema(schema).options(header="true", escape='"', multiLine="false").csv(files))
-    return out
-
-
-def _parquet_groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
-    """Parquet sheets in one frame if their schemas merge, else one frame per schema."""
+def _merged_parquet(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """Parquet sheets in one frame, as Spark reads them; None if their schemas do not merge."""
     try:
-        return [spark.read.option("mergeSchema", "true").parquet(*paths)]
+        return spark.read.option("mergeSchema", "true").parquet(*paths)
     except (PySparkException, Py4JJavaError) as error:
         if "MERGE" not in str(error):
             raise
-    groups: dict[str, list[str]] = {}
-    for r in spark.read.format("binaryFile").load(paths).select("path").orderBy("path").collect():
-        groups.setdefault(spark.read.parquet(r["path"]).schema.json(), []).append(r["path"])
-    return [spark.read.parquet(*files) for files in groups.values()]
+        return None
 
 
-def scan_sources(spark: SparkSession, paths: list[str] | str, fmt: str = "parquet", sheet_folder: bool = False) -> DataFrame:
+def scan_sources(spark: SparkSession, paths: list[str] | str, fmt: str = "parquet", sheet_folder: bool = False, delimiter: str = ",") -> DataFrame:
     """Building-ownership rows of many sheets, whatever their headers' order and spelling.
 
     Columns are found by name (the sheet's header or the library's own name) and read as text
-    first, so ``301.0`` is a number and ``12B`` a house number. ``source`` is the sheet's name:
-    that of the file, or of its folder (``sheet_folder``, also ``sheet=NAME``) where a sheet is a
-    folder of part files. ``kommune_name`` comes from the sheet's name unless a column has it;
-    ``row_no`` from a column, else it numbers the rows of a source by (part file, row). A
-    sheet without a required column is an error.
+    first, so ``301.0`` is a number and ``12B`` a house number; cells may hold line breaks, quotes
+    and separators. ``source`` is the sheet's name: that of the file, or of its folder
+    (``sheet_folder``, also ``sheet=NAME``) where a sheet is a folder of part files. ``kommune_name``
+    comes from the sheet's name unless a column has it; ``row_no`` from a column, else it numbers
+    the rows of a source by (part file, row). Columns the library does not know are in the map
+    ``extra`` (of Parquet sheets with one schema: columns of their own). A sheet without a required
+    column is an error when its rows are read.
     """
     many = [paths] if isinstance(paths, str) else list(paths)
-    groups = _csv_groups(spark, many) if fmt == "csv" else _parquet_groups(spark, many)
-    parts = []
-    for df in groups:
-        path = F.col("_metadata.file_path")
-        sheet = F.regexp_extract(path, r"([^/]*)/[^/]*$", 1) if sheet_folder else F.regexp_extract(path, r"([^/]*)$", 1)
-        sheet = F.regexp_replace(F.url_decode(F.replace(sheet, F.lit("+"), F.lit("%2B"))), "^[A-Za-z_]+=", "")
-        own = {c.lower(): c for c in df.columns}
-        at = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
-        df = df.withColumns({
-            "source": F.concat(F.lit(SOURCE_PREFIX), sheet), "_path": path, "_block": F.col("_metadata.file_block_start"), "_at": at,
-        })
-        if "row_no" in own:
-            df = df.withColumn("_no", F.col(own["row_no"]).cast("bigint")).drop(own["row_no"])
-        else:
-            df = df.withColumn("_no", F.lit(None).cast("bigint"))
+    same = _merged_parquet(spark, many) if fmt == "parquet" else None
+    if same is None:
+        rows = read_sheets(spark, many, fmt, delimiter).withColumnsRenamed({"path": "_path", "at": "_at"})
+        kinds = {c: read_as(c, F.col(c)) for c in SHEET_HEADERS}
+        rows = rows.withColumns(kinds).withColumn("_no", F.col("row_no").cast("bigint")).withColumnRenamed("kommune_name", "_name").drop("row_no")
+    else:
+        rows = same.withColumns({"_path": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+        own = {c.lower(): c for c in same.columns}
         name = F.col(own["kommune_name"]).cast("string") if "kommune_name" in own else F.lit(None).cast("string")
-        df = df.withColumn("_name", name).drop(own.get("kommune_name", "_none"))
-        parts.append(conform_sheet(df, ("source", "_path", "_block", "_at", "_no", "_name")))
-    out = stack_sheets(parts)
+        no = F.col(own["row_no"]).cast("bigint") if "row_no" in own else F.lit(None).cast("bigint")
+        rows = rows.withColumns({"_no": no, "_name": name}).drop(*[own[c] for c in ("row_no", "kommune_name") if c in own])
+        rows = stack_sheets([conform_sheet(rows, ("_path", "_at", "_no", "_name"))])
+    path = F.col("_path")
+    sheet = F.regexp_extract(path, r"([^/]*)/[^/]*$", 1) if sheet_folder else F.regexp_extract(path, r"([^/]*)$", 1)
+    sheet = F.regexp_replace(F.url_decode(F.replace(sheet, F.lit("+"), F.lit("%2B"))), "^[A-Za-z_]+=", "")
+    rows = rows.withColumn("source", F.concat(F.lit(SOURCE_PREFIX), sheet))
+    if sheet_folder:
+        rows = _numbered_over_files(rows)
     strict = strict_kommune_name(F.regexp_replace("source", "^" + SOURCE_PREFIX, ""))
-    # Text files have no row index: (split, place in the task) orders the rows of a part file.
-    order = Window.partitionBy("source").orderBy("_path", "_block", "_at")
-    if out.where("_no is null").limit(1).count():
-        out = out.withColumn("_no", F.coalesce("_no", F.row_number().over(order).cast("bigint") - 1))
-    return out.select(
-        F.col("_no").alias("row_no"), "source", F.coalesce("_name", strict).alias("kommune_name"),
-        *[F.col(f"`{c}`") for c in out.columns if c not in ("source", "_path", "_block", "_at", "_no", "_name")],
+    return rows.select(
+        F.coalesce("_no", "_at").alias("row_no"), "source", F.coalesce("_name", strict).alias("kommune_name"),
+        *[F.col(f"`{c}`") for c in rows.columns if c not in ("source", "_path", "_at", "_no", "_name")],
     )
 
 
+def _numbered_over_files(rows: DataFrame) -> DataFrame:
+    """``_at`` counted on over the part files of a source, where rows have no number of their own: the
+    rows are stored, counted per file, and each file starts after the rows of those before it."""
+    rows = materialize(rows, "scanned")
+    counts = rows.where("_no is null").groupBy("source", "_path").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = counts.select("source", "_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, ["source", "_path"], "left").withColumn("_at", F.col("_at") + F.coalesce("_start", F.lit(0))).drop("_start")
+
+
 def conform(df: DataFrame) -> DataFrame:
     """Add every report column that is absent as a typed null (schema union)."""
     missing = {c: F.lit(None).cast(t) for c, t in REPORT_COLUMNS.items() if c not in df.columns}
     return df.withColumns(missing) if missing else df
 
 
-def build_properties(raw: DataFrame, with_id: bool = False, first_id: int = 0) -> DataFrame:
-    """Dedup rows of the filtered path, labelled with kommune and source, conformed. A stored
-    table gives its rows the ``id`` when it is read (S09, ``read_properties``); ``with_id`` numbers
-    rows that are not stored that way, from ``first_id``."""
+def build_properties(raw: DataFrame, with_id: bool = True, first_id: int = 0) -> DataFrame:
+    """Dedup rows of the filtered path, labelled with kommune and source, conformed,
+    with the dense ``id`` in load order from ``first_id``. Rows that are to be stored need none: the
+    stored table gives it (S09, ``load_properties``, ``read_properties``)."""
     rows = properties_rows(raw).drop("parsed_underenheter")
     rows = rows.withColumn("kommune", source_label(F.col("source")))
     rows = conform(rows).withColumn("kommune_key", kommune_key("kommune"))
@@ -202,6 +184,11 @@ def write_properties(props: DataFrame, path: str) -> None:
     rows.sortWithinPartitions("kommune_key", "source", "row_no").drop("_block").write.mode("overwrite").partitionBy("kommune_key").parquet(path)
 
 
+def load_properties(raw: DataFrame, path: str) -> None:
+    """The ``properties`` table of all sources of ``raw``, built and stored."""
+    write_properties(build_properties(raw, with_id=False), path)
+
+
 def with_stored_ids(stored: DataFrame, start: int = 0) -> DataFrame:
     """The rows of a table that ``write_properties`` wrote, with the dense ``id`` in load order
     (source, row_no): the rows before a block (a running sum of one small row per block) plus the
