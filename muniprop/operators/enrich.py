@@ -56,6 +56,17 @@ def is_duplicate(c: Column | str = "duplikat_flagg") -> Column:
     return F.lower(F.coalesce(col, F.lit(""))).contains("duplicate")
 
 
+def has_duplicates(df: DataFrame) -> bool:
+    return {"duplikat_flagg", "duplikat_gruppe"} <= set(df.columns)
+
+
+def duplicates(df: DataFrame) -> Column:
+    """P05 for the rows of ``df``: flags count where the row's sheet has flag and group."""
+    if not has_duplicates(df):
+        return F.lit(False)
+    return is_duplicate() & ~F.coalesce("duplicates_absent", F.lit(False)) if "duplicates_absent" in df.columns else is_duplicate()
+
+
 def drop_duplicates_by_flag(df: DataFrame) -> DataFrame:
     """P05."""
     if "duplikat_flagg" not in df.columns:

@@ -10,12 +10,19 @@ from muniprop.queries_sources import (
     EXTRA_FILES,
     FILE_DIR,
     GATE_PROBES,
+    INC_CHANGED,
+    INC_EXTRA_SQL,
+    INC_FIELDS,
+    INC_NEW,
+    INC_SECOND_SQL,
     Q01_SQL,
     Q06_SQL,
     Q08_SQL,
     Q_LIMIT,
     S01_EXTRA_SQL,
     S01_FIELDS,
+    header_line,
+    sheet_line,
 )
 from muniprop.sources import hashing as H
 from muniprop.sources import sheet_columns as SC
@@ -88,17 +95,6 @@ def _digest(table: str, cols: list[str]) -> str:
     return f"sha256({' || '.join(parts)})"
 
 
-def _fingerprint(table: str, cols: list[str]) -> str:
-    lanes = ", ".join(
-        f"SUM(('0x' || substr(h, {1 + i * H.LANE_HEX}, {H.LANE_HEX}))::HUGEINT) AS s{i}" for i in range(H.LANES)
-    )
-    text = " || ':' || ".join(["CAST(n AS VARCHAR)"] + [f"CAST(COALESCE(s{i}, 0) % {H.LANE_MOD} AS VARCHAR)" for i in range(H.LANES)])
-    return (
-        f"SELECT '{table}' AS table_name, n AS row_count, sha256({text}) AS fingerprint FROM ("
-        f"SELECT COUNT(*) AS n, {lanes} FROM (SELECT {_digest(table, cols)} AS h FROM {table}))"
-    )
-
-
 def gate(x: str) -> str:
     bare = f"regexp_replace(regexp_replace({x}, {_lit(sqlapi.QUOTED)}, 'q', 'g'), {_lit(sqlapi.COMMENTS)}, ' ', 'g')"
     outside = "bare"
@@ -199,13 +195,6 @@ SELECT source, SUM(rows_loaded)::BIGINT AS rows_loaded, SUM(duplicates_removed):
   SUM(alt_address_backfilled)::BIGINT AS alt_address_backfilled
 FROM per GROUP BY ROLLUP (source)""",
     "s11_content_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, COUNT(*) AS copies FROM documents GROUP BY 1",
-    "s12_fingerprint": "\nUNION ALL\n".join(
-        [
-            _fingerprint("region", ["r_regionkey:int", "r_name:string"]),
-            _fingerprint("nation", ["n_nationkey:int", "n_name:string", "n_regionkey:int"]),
-            _fingerprint("customer", ["c_custkey:bigint", "c_name:string", "c_nationkey:int", "c_acctbal:double", "c_mktsegment:string"]),
-        ]
-    ),
     "s14_json_safe": RAW
     + """
 SELECT row_no,
@@ -234,3 +223,75 @@ FROM raw""",
 }
 
 SQL["s13_materialise"] = pl.SQL["d07_statistics"]
+
+
+def inc_value(name: str) -> str:
+    """A column of the sheets of the per-source build, as it is read back."""
+    value = f"({INC_EXTRA_SQL[name]})" if name in INC_EXTRA_SQL else name
+    if name in SC.INTEGERS:
+        return f"CAST(CAST({value} AS DOUBLE) AS BIGINT)"
+    return value
+
+
+# The sheets as the second build finds them: rows numbered by their place, and the hash of each file.
+INC = f"""WITH raw0 AS (SELECT * FROM ({duck_fixture(FX_RAW_SQL)}) WHERE {INC_SECOND_SQL}),
+raw AS (
+  SELECT row_number() OVER (PARTITION BY source ORDER BY row_no) - 1 AS row_no, source, replace(kommune_name, '_', ' ') AS kommune_name,
+    {', '.join(f'{inc_value(c)} AS {c}' for c in INC_FIELDS)}
+  FROM raw0
+),
+hashes AS (
+  SELECT source, sha256({_lit(header_line(INC_FIELDS))} || chr(10) || string_agg({sheet_line(INC_FIELDS, INC_EXTRA_SQL)}, chr(10) ORDER BY row_no) || chr(10)) AS sha256
+  FROM raw0 GROUP BY source
+),
+{pl.OWN}"""
+SQL["s13_incremental_build"] = (
+    INC + ",\n" + pl.KEPT + ",\n" + pl.enrich("kept", "d04") + ",\ninc AS (SELECT * FROM d04 WHERE " + pl.STATUS_INC + "),\n" + pl.merge("inc", "d05")
+    + f""",
+lab AS (SELECT *, regexp_replace(regexp_replace(source, '^kartverket:', ''), '\\.[^.]*$', '') AS _stem FROM d05)
+SELECT row_number() OVER (ORDER BY source, row_no) - 1 AS id, source, row_no, CASE WHEN kommunenummer IN ({INC_CHANGED}, {INC_NEW}) THEN 2 ELSE 1 END AS build,
+  {pl.kommune_label(pl.LABEL)} AS kommune, adresse, alt_adresser, knr_gnr_bnr, tek_standard, forenklet_bygningskategori, underenheter, antall_underenheter
+FROM lab"""
+)
+SQL["d07_statistics_with_hash"] = INC + ",\n" + pl._STATS + """
+SELECT source, sha256 AS file_hash, total_rows, deduplicated_rows, unfiltered_rows, unfiltered_deduplicated_rows,
+  unfiltered_rows - included_rows AS filtered_out_rows, excluded_status_rows AS filtered_out_status_rows,
+  excluded_status_rows, excluded_status_deduplicated_rows
+FROM stats JOIN hashes USING (source)"""
+SQL["s11_file_dedup"] = INC + """
+SELECT source, sha256, regexp_replace(source, '^kartverket:', '') AS stored_as, true AS is_stored FROM hashes
+UNION ALL SELECT 'kartverket:9001_TWIN_Properties.xlsx', sha256, regexp_replace(source, '^kartverket:', ''), false FROM hashes
+WHERE starts_with(source, 'kartverket:1001_')"""
+
+
+def _buckets(rows: str, cols: list[str]) -> str:
+    lanes = ", ".join(f"SUM(('0x' || substr(h, {1 + i * H.LANE_HEX}, {H.LANE_HEX}))::HUGEINT) AS s{i}" for i in range(H.LANES))
+    text = " || ':' || ".join(["CAST(n AS VARCHAR)"] + [f"CAST(s{i} % {H.LANE_MOD} AS VARCHAR)" for i in range(H.LANES)])
+    return (
+        f"SELECT k, bucket, n, sha256({text}) AS digest FROM (SELECT k, substr(h, 1, 2) AS bucket, COUNT(*) AS n, {lanes} "
+        f"FROM (SELECT {{k}} AS k, {_digest('', cols)} AS h FROM {rows}) GROUP BY ALL)"
+    )
+
+
+def _bucketed(table: str, cols: list[str]) -> str:
+    return (
+        f"SELECT '{table}' AS table_name, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS row_count, "
+        f"sha256(string_agg(bucket || ':' || digest, ';' ORDER BY bucket)) AS fingerprint FROM ({_buckets(table, cols).replace('{k}', '1')})"
+    )
+
+
+CUSTOMER = ["c_custkey:bigint", "c_name:string", "c_nationkey:int", "c_acctbal:double", "c_mktsegment:string"]
+SQL["s12_fingerprint"] = "\nUNION ALL\n".join(
+    [
+        _bucketed("region", ["r_regionkey:int", "r_name:string"]),
+        _bucketed("nation", ["n_nationkey:int", "n_name:string", "n_regionkey:int"]),
+        _bucketed("customer", CUSTOMER),
+    ]
+)
+_PART = [c for c in CUSTOMER if not c.startswith("c_nationkey")]
+_MOVED = "(SELECT * REPLACE (CASE WHEN c_custkey % 97 = 5 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal) FROM customer)"
+SQL["s12_changed_buckets"] = (
+    f"WITH a AS ({_buckets('customer', _PART).replace('{k}', 'c_nationkey')}), b AS ({_buckets(_MOVED, _PART).replace('{k}', 'c_nationkey')})\n"
+    "SELECT DISTINCT COALESCE(a.k, b.k) AS c_nationkey, COALESCE(a.bucket, b.bucket) AS bucket FROM a FULL JOIN b ON a.k = b.k AND a.bucket = b.bucket "
+    "WHERE a.digest IS DISTINCT FROM b.digest"
+)

@@ -15,6 +15,7 @@ from muniprop.queries import register
 from muniprop.session import scratch_path
 from muniprop.sources import export as X
 from muniprop.sources import hashing as H
+from muniprop.sources import incremental as I
 from muniprop.sources import manifest as M
 from muniprop.sources import properties as SP
 from muniprop.sources import sheet_columns as SC
@@ -74,6 +75,34 @@ def register_tables(spark: SparkSession, sf_dir: str, names=fx.DRIVER_TABLES) ->
 # Sheet headers used by the scan query, in two orders; the second kind of sheet lacks the sub-units.
 S01_FIELDS = [c for c in SC.SHEET_HEADERS if c in S01_COLUMNS]
 
+# Cells as sheets hold them: line breaks, quotes and separators inside (the same SQL in both engines).
+S01_EXTRA_SQL |= {
+    "adressenavn": "CASE WHEN row_no % 21 = 4 THEN CONCAT(adressenavn, ' \"Nord\"', CHR(10), 'oppgang 2, bakgård') "
+    "WHEN row_no % 21 = 5 THEN CONCAT(',', adressenavn, '\"') WHEN row_no % 21 = 7 THEN CONCAT(adressenavn, CHR(13), CHR(10), 'bygg;3') ELSE adressenavn END",
+}
+
+
+def sheet_line(fields: list[str], extra: dict[str, str] = S01_EXTRA_SQL) -> str:
+    """SQL of a row's line in a CSV sheet: every cell in quotes, null cells empty."""
+    def cell(f: str) -> str:
+        text = f"CAST({extra.get(f, f)} AS VARCHAR(2000))"
+        return f"COALESCE('\"' || REPLACE({text}, '\"', '\"\"') || '\"', '')"
+
+    return "CONCAT(" + ", ',', ".join(cell(f) for f in fields) + ")"
+
+
+def header_line(fields: list[str]) -> str:
+    return ",".join(SC.SHEET_HEADERS[f] for f in fields)
+
+
+def write_sheets(rows: DataFrame, fields: list[str], folder: str, extra: dict[str, str] = S01_EXTRA_SQL) -> None:
+    """One CSV file per source (folder ``sheet=NAME``): header, then the rows in ``row_no`` order."""
+    sheet = F.regexp_replace("source", "^kartverket:", "").alias("sheet")
+    lines = rows.select(sheet, F.col("row_no").alias("_at"), F.expr(sheet_line(fields, extra)).alias("value"))
+    heads = rows.select(sheet).distinct().select("sheet", F.lit(-1).cast("bigint").alias("_at"), F.lit(header_line(fields)).alias("value"))
+    every = lines.unionByName(heads).repartition("sheet").sortWithinPartitions("sheet", "_at")
+    every.select("sheet", "value").write.mode("append").partitionBy("sheet").text(folder)
+
 
 def s01_sheets(spark: SparkSession, sf_dir: str) -> str:
     """Writes the fixture as CSV sheets with real headers (numbers as floats, house numbers as
@@ -81,20 +110,65 @@ def s01_sheets(spark: SparkSession, sf_dir: str) -> str:
     base = scratch_path(spark, f"s01-{uuid.uuid4().hex}")
     raw = fx.fx_raw(spark, sf_dir)
     odd = F.col("kommunenummer") % 2 == 1
-    for part, fields in (("a", S01_FIELDS), ("b", [f for f in reversed(S01_FIELDS) if f != "underenheter"])):
-        rows = raw.where(odd if part == "a" else ~odd).withColumns(s01_extra())
-        rows = rows.select(F.regexp_replace("source", "^kartverket:", "").alias("sheet"), *[F.col(f).cast("string").alias(SC.SHEET_HEADERS[f]) for f in fields])
-        rows.write.partitionBy("sheet").options(header="true", escape='"', emptyValue="").csv(f"{base}/{part}")
+    write_sheets(raw.where(odd), S01_FIELDS, f"{base}/a")
+    write_sheets(raw.where(~odd), [f for f in reversed(S01_FIELDS) if f != "underenheter"], f"{base}/b")
     return base
 
 
 @register("s01_scan")
 def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = s01_sheets(spark, sf_dir)
-    scanned = SP.scan_sources(spark, [f"{base}/a/*/*.csv", f"{base}/b/*/*.csv"], "csv", sheet_folder=True)
+    scanned = SP.scan_sources(spark, [f"{base}/a/*/*.txt", f"{base}/b/*/*.txt"], "csv", sheet_folder=True)
     return scanned.select("source", "kommune_name", *S01_FIELDS)
 
 
+# The per-source build: the first state of the sheets, and the second, in which one sheet has fewer
+# rows, one is gone, one is new and one has the bytes of another under a new name.
+INC_FIELDS = [c for c in SC.SHEET_HEADERS if c in S01_COLUMNS | {"duplikat_flagg"}]
+INC_EXTRA_SQL = {k: v for k, v in S01_EXTRA_SQL.items() if k != "nummer"}
+INC_CHANGED, INC_GONE, INC_NEW = 1003, 1005, 1007
+INC_SECOND_SQL = f"kommunenummer <> {INC_GONE} AND NOT (kommunenummer = {INC_CHANGED} AND row_no % 2 = 0)"
+
+
+def second_build(spark: SparkSession, sf_dir: str) -> tuple[str, I.Build]:
+    """Two builds over sheets that change in between; returns the table's root and the second."""
+    base = scratch_path(spark, f"incremental-{uuid.uuid4().hex}")
+    rows, root = fx.fx_raw(spark, sf_dir), f"{base}/table"
+    number = F.col("kommunenummer")
+    same = rows.where(~number.isin(INC_CHANGED, INC_GONE, INC_NEW))
+    write_sheets(same, INC_FIELDS, f"{base}/same", INC_EXTRA_SQL)
+    write_sheets(rows.where(number.isin(INC_CHANGED, INC_GONE)), INC_FIELDS, f"{base}/first", INC_EXTRA_SQL)
+    I.build_sources(spark, [f"{base}/same/*/*.txt", f"{base}/first/*/*.txt"], root, sheet_folder=True)
+    changed = rows.where(number.isin(INC_CHANGED, INC_NEW)).where(INC_SECOND_SQL)
+    write_sheets(changed, INC_FIELDS, f"{base}/second", INC_EXTRA_SQL)
+    twin = rows.where(number == 1001).withColumn("source", F.lit("kartverket:9001_TWIN_Properties.xlsx"))
+    write_sheets(twin, INC_FIELDS, f"{base}/second", INC_EXTRA_SQL)
+    return root, I.build_sources(spark, [f"{base}/same/*/*.txt", f"{base}/second/*/*.txt"], root, sheet_folder=True)
+
+
+@register("s13_incremental_build")
+def s13_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = second_build(spark, sf_dir)
+    table = I.read_table(spark, root, with_id=True)
+    return table.select(
+        "id", "source", "row_no", F.col("build").cast("int").alias("build"), "kommune", "adresse", "alt_adresser", "knr_gnr_bnr", "tek_standard",
+        "forenklet_bygningskategori", "underenheter", F.col("antall_underenheter").cast("int").alias("antall_underenheter"),
+    )
+
+
+@register("d07_statistics_with_hash")
+def d07_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = second_build(spark, sf_dir)
+    return I.read_statistics(spark, root).withColumnRenamed("sha256", "file_hash")
+
+
+@register("s11_file_dedup")
+def s11_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, build = second_build(spark, sf_dir)
+    names = build.state.select("source", "sha256", M.sheet_name(F.col("stored_as"), True).alias("stored_as"), F.col("made").isNotNull().alias("is_stored"))
+    return names
+
+
 @register("s02_manifest")
 def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.manifest(files(spark, sf_dir))
@@ -171,6 +245,15 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@register("s12_changed_buckets")
+def s12_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a changed table differs: one customer's balance, per nation."""
+    table = fx.table(spark, sf_dir, "customer")
+    other = table.withColumn("c_acctbal", F.when(F.col("c_custkey") % 97 == 5, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    by = ("c_nationkey",)
+    return H.changed_buckets(H.bucket_digests(table, by), H.bucket_digests(other, by), by)
+
+
 @register("s13_materialise")
 def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fx.fx_raw(spark, sf_dir)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from muniprop.functions.scalars import kommune_key
 from muniprop.plans.pipeline import properties_rows
 from muniprop.session import ensure_checkpoint_dir, materialize
-from muniprop.sources.manifest import SOURCE_PREFIX, source_label, strict_kommune_name
+from muniprop.sources.manifest import SOURCE_PREFIX, sheet_name, source_label, strict_kommune_name
 from muniprop.sources.sheet_columns import SHEET_HEADERS, conform_sheet, read_as, stack_sheets
 from muniprop.sources.sheets import read_sheets
 
@@ -79,10 +79,7 @@ def scan_sources(spark: SparkSession, paths: list[str] | str, fmt: str = "parque
         no = F.col(own["row_no"]).cast("bigint") if "row_no" in own else F.lit(None).cast("bigint")
         rows = rows.withColumns({"_no": no, "_name": name}).drop(*[own[c] for c in ("row_no", "kommune_name") if c in own])
         rows = stack_sheets([conform_sheet(rows, ("_path", "_at", "_no", "_name"))])
-    path = F.col("_path")
-    sheet = F.regexp_extract(path, r"([^/]*)/[^/]*$", 1) if sheet_folder else F.regexp_extract(path, r"([^/]*)$", 1)
-    sheet = F.regexp_replace(F.url_decode(F.replace(sheet, F.lit("+"), F.lit("%2B"))), "^[A-Za-z_]+=", "")
-    rows = rows.withColumn("source", F.concat(F.lit(SOURCE_PREFIX), sheet))
+    rows = rows.withColumn("source", F.concat(F.lit(SOURCE_PREFIX), sheet_name(F.col("_path"), sheet_folder)))
     if sheet_folder:
         rows = _numbered_over_files(rows)
     strict = strict_kommune_name(F.regexp_replace("source", "^" + SOURCE_PREFIX, ""))
