@@ -4,8 +4,9 @@ Pass 1 scores the containers of every page: a container is an element outside me
 footers, sidebars, adverts, notices, forms, scripts and comments; its score is the text of the
 blocks below it that is not inside links, halved for every level between. The page votes for
 the generalised tag-class path (digits cut from class names) of its best container, lifted to the
-outermost article or main around it or, without one, to the highest container that adds a part
-with under half of its text in links: what stands beside the best container belongs to the article. Votes are
+outermost article or main around it or, without one, to the highest container that adds a heading, or a
+part of at least a fifth of the best container's length with under half of its text in links: such
+parts belong to the article, slogans and copyright lines do not. Votes are
 summed per host in Spark, and pass 2 extracts every page again with the winning path of its
 host; a page without an element on that path uses its own best container.
 
@@ -56,32 +57,107 @@ CLOSES_P = BLOCK_TAGS - {"option", "optgroup", "body", "html", "legend", "summar
 # A start of one of these closes an open sibling of the listed kinds.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
             "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# First words that turn the rest of a class or id around ("no-ads", "has-sidebar").
+NOT_IN = frozenset("has have is no non not with without hide hides hidden under".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+SPACE = re.compile(r"[\s/]*")
+KEY = re.compile(r"[^\s/>][^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
+NUMBERED = re.compile(r"[\d_-]*")
+DEEPEST = 512  # nesting as browsers keep it; what opens below that counts as part of the element there
+PART = 5  # a part beside the best container belongs to the article from a 5th of its length on
 WHITE = re.compile(r"\s+")
 
 
 class Element:
-    """An open structural element: its generalised path and whether it is outside main text."""
-
-    __slots__ = ("tag", "path", "out", "parent", "number")
-
-    def __init__(self, tag: str, path: str, out: bool, parent: Element | None, number: int):
-        self.tag, self.path, self.out, self.parent, self.number = tag, path, out, parent, number
-
-
-def describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised name of an element (tag and class words without digits) and whether it is
-    outside main text."""
-    words, classes = set(), []
-    for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
-        for w in (a or b or c).lower().split():
-            words.add(w)
-            words.update(re.split(r"[-_]+", w))
-            if name.lower() == "class":
-                classes.append(re.sub(r"\d+", "", w))
-    out = tag in OUT_TAGS or (tag not in ("html", "body", "article", "main") and not OUT_WORDS.isdisjoint(words))
-    return ".".join([tag, *sorted(set(filter(None, classes)))]), out
+    """An open structural element: its generalised path and whether it is outside main text.
+    ``guess`` says that only part of a class or id word says so."""
+
+    __slots__ = ("tag", "path", "mark", "guess", "parent", "number")
+
+    def __init__(self, tag: str, path: str, mark: bool, guess: bool, parent: Element | None, number: int):
+        self.tag, self.path, self.mark, self.guess, self.parent, self.number = tag, path, mark, guess, parent, number
+
+    @property
+    def out(self) -> bool:
+        e = self
+        while e is not None:
+            if e.mark:
+                return True
+            e = e.parent
+        return False
+
+
+def outside(word: str, is_id: bool) -> tuple[bool, bool]:
+    """Whether a class, id or role word names boilerplate: as a whole, or by its first or last part
+    (of an id, a slug as often as not, by the first part only before numbers: ``comment-7``)."""
+    if word in OUT_WORDS:
+        return True, False
+    parts = [x for x in re.split(r"[-_]+", word) if x]
+    if len(parts) < 2 or parts[0] in NOT_IN:
+        return False, False
+    first = parts[0] in OUT_WORDS and (not is_id or NUMBERED.fullmatch(word[len(parts[0]) :]) is not None)
+    return first or parts[-1] in OUT_WORDS, True
+
+
+def describe(tag: str, attributes: dict[str, str]) -> tuple[str, bool, bool]:
+    """Generalised name of an element (tag and class words without digits), whether it is outside
+    main text, and whether that is a guess."""
+    classes = attributes.get("class", "").lower().split()
+    name = ".".join([tag, *sorted(set(filter(None, (re.sub(r"\d+", "", w) for w in classes))))])
+    if tag in OUT_TAGS:
+        return name, True, False
+    if tag in ("html", "body", "article", "main"):
+        return name, False, False
+    found = [outside(w, False) for w in (*classes, *attributes.get("role", "").lower().split())]
+    if not (tag == "p" or tag[:1] == "h" and tag[1:].isdigit()):  # ids of headings and paragraphs are slugs
+        found += [outside(w, True) for w in attributes.get("id", "").lower().split()]
+    marks = [guess for out, guess in found if out]
+    return name, bool(marks), bool(marks) and all(marks)
+
+
+class Scanner:
+    """Tags of a page from left to right, each character looked at a bounded number of times: what is
+    not found once (a closing quote, a ``>``) is not looked for again."""
+
+    def __init__(self, source: str):
+        self.source, self.size = source, len(source)
+        self.none: dict[str, bool] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """Place of ``what`` from ``at`` on; -1 if there is none, as is then known for all later ones."""
+        if self.none.get(what):
+            return -1
+        place = self.source.find(what, at)
+        if place < 0:
+            self.none[what] = True
+        return place
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """Attributes from ``at`` on, whether the tag closes itself, and the place after its ``>``
+        (the end of the page if it has none)."""
+        source, found = self.source, {}
+        while True:
+            space = SPACE.match(source, at)
+            at = space.end()
+            if at >= self.size:
+                return found, False, self.size
+            if source[at] == ">":
+                return found, space.group().endswith("/"), at + 1
+            key = KEY.match(source, at)
+            at, value = key.end(), ""
+            equals = EQUALS.match(source, at)
+            if equals:
+                at = equals.end()
+                quote = source[at : at + 1]
+                end = self.find(quote, at + 1) if quote in ('"', "'") else -1
+                if end >= 0:
+                    value, at = source[at + 1 : end], end + 1
+                else:
+                    bare = BARE.match(source, at)
+                    value, at = bare.group(), bare.end()
+            found.setdefault(key.group().lower(), html_module.unescape(value))
 
 
 class Page:
@@ -89,12 +165,17 @@ class Page:
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, int, Element]] = []
-        self.root = Element("", "", False, None, 0)
+        self.root = Element("", "", False, False, None, 0)
         self.open: list[Element] = [self.root]
         self.parts: list[str] = []
         self.in_link, self.link_chars, self.count = 0, 0, 0
+        self.guesses: list[Element] = []
         if source:
             self.read(source)
+            # A page without text outside boilerplate: marks that part of a word gave were wrong.
+            if self.blocks and all(e.out for _, _, e in self.blocks):
+                for e in self.guesses:
+                    e.mark = False
 
     def flush(self) -> None:
         if self.parts:
@@ -115,7 +196,7 @@ class Page:
         del self.open[place:]
         self.in_link = 0
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag == "a":
             self.in_link = 1
         if tag == "br":
@@ -132,12 +213,15 @@ class Page:
                 self.pop_to(place)
             elif kind not in ("td", "th", "tr") or tag not in ("tr", "tbody", "tfoot"):
                 break
-        if tag in VOID_TAGS:
+        if tag in VOID_TAGS or len(self.open) >= DEEPEST:
             return
-        name, out = describe(tag, attributes)
+        name, mark, guess = describe(tag, attributes)
         above = self.open[-1]
         self.count += 1
-        self.open.append(Element(tag, f"{above.path}>{name}" if above.path else name, out or above.out, above, self.count))
+        e = Element(tag, f"{above.path}>{name}" if above.path else name, mark, guess, above, self.count)
+        if guess:
+            self.guesses.append(e)
+        self.open.append(e)
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -151,24 +235,36 @@ class Page:
         self.flush()
 
     def read(self, source: str) -> None:
-        at, size = 0, len(source)
-        while at < size:
-            m = TOKEN.search(source, at)
-            if m is None:
-                self.text(source[at:])
+        at, size, scan, rest = 0, len(source), Scanner(source), 0
+        while True:
+            at = source.find("<", at)
+            if at < 0:
                 break
-            self.text(source[at : m.start()])
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
+            after = source[at + 1 : at + 2]
+            slash = after == "/"
+            name = NAME.match(source, at + 1 + slash)
+            if not name and after not in ("!", "?") and not slash:
+                at += 1  # a plain "<"
+                continue
+            if name and scan.find(">", at) < 0:
+                break  # no tag ends any more: what is left is text
+            self.text(source[rest:at])
+            if not name:
+                comment = source.startswith("<!--", at)
+                end = scan.find("-->" if comment else ">", at + (4 if comment else 2))
+                at = rest = size if end < 0 else end + (3 if comment else 1)
                 continue
-            if m[1]:
+            tag = name.group().lower()
+            attributes, closed, at = scan.attributes(name.end())
+            if slash:
                 self.end(tag)
-            elif tag in RAW_TAGS and not m[3].endswith("/"):
+            elif tag in RAW_TAGS and not closed:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = close.end() if close else size
             else:
-                self.start(tag, m[3])
+                self.start(tag, attributes)
+            rest = at
+        self.text(source[rest:])
         self.flush()
 
     def best_path(self) -> tuple[str, int] | None:
@@ -176,11 +272,18 @@ class Page:
         score: dict[int, float] = defaultdict(float)
         chars: dict[int, int] = defaultdict(int)
         links: dict[int, int] = defaultdict(int)
+        titled: dict[int, int] = defaultdict(int)
         at: dict[int, Element] = {}
         for text, linked, e in self.blocks:
             if e.out:
                 continue
-            if e.tag in ("p", "li", "td", "th", "pre", "blockquote", "dd", "dt", "figcaption") or e.tag[:1] == "h" and e.tag[1:].isdigit():
+            heading = e.tag[:1] == "h" and e.tag[1:].isdigit()
+            if heading:
+                up = e.parent
+                while up is not None:
+                    titled[up.number] += 1
+                    up = up.parent
+            if heading or e.tag in ("p", "li", "td", "th", "pre", "blockquote", "dd", "dt", "figcaption"):
                 e = e.parent or e
             share = float(len(text) - linked)
             while e is not None:
@@ -194,7 +297,8 @@ class Page:
             return None
         top = max(score, key=lambda n: (score[n], n))
         # Up to the outermost article or main; without one, to the highest container that adds a part
-        # (its own blocks, or a container in it) with under half of the text inside links.
+        # (its own blocks, or a container in it) with under half of the text inside links that is a
+        # heading or long enough: not a slogan or a copyright line.
         inside: dict[int, list[int]] = defaultdict(list)
         for n, e in at.items():
             if e.parent is not None:
@@ -208,7 +312,7 @@ class Page:
             parts = [(chars[n], links[n]) for n in inside[e.number]]
             own = (chars[e.number] - sum(c for c, _ in parts), links[e.number] - sum(x for _, x in parts))
             beside = [own, *((chars[n], links[n]) for n in inside[e.number] if n != below)]
-            if any(2 * x < c for c, x in beside):
+            if any(2 * x < c and c * PART >= chars[top] for c, x in beside) or titled.get(e.number, 0) > titled.get(below, 0):
                 lifted = e
         best = marked or lifted
         return best.path, chars[best.number]

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -166,3 +167,60 @@ def test_language_edges(edge_docs, no_docs):
     assert got[1]["lang_pred"] in model.languages
     assert L.predict(edge_docs, L.learn(no_docs)).where("lang_pred <> 'und' or score <> 0").count() == 0
     assert L.predict(no_docs, model).count() == 0
+
+
+PROSE = "Some long paragraph of prose with many words in it that goes on for quite a while. " * 4
+
+
+def main_text(source):
+    page = H.Page(source)
+    best = page.best_path()
+    return page.extract(best[0]) if best else ""
+
+
+@pytest.mark.parametrize(
+    "source", ["<a " * 350_000, '<a b="' * 170_000, "<p x='" * 170_000 + ">", "<" * 1_000_000, "<!--" * 250_000, "<script>" * 125_000, "<div>" * 200_000 + "x"]
+)
+def test_html_of_unclosed_parts_is_read_in_linear_time(source):
+    start = time.perf_counter()
+    main_text(source)
+    assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f'<body><div class="content has-sidebar"><p>{PROSE}</p></div></body>',
+        f'<body><article><p class="no-ads">{PROSE}</p></article></body>',
+        f'<body><div data-id="comment-7"><p>{PROSE}</p></div></body>',
+        f'<body><div data-class="menu" title="a class=menu"><p>{PROSE}</p></div></body>',
+        f'<body><div class="search-results-wide footer"><p>x</p></div><div><p title=it\'s>{PROSE}</p></div></body>',
+        f'<body><div class="share-prices-of-today sponsor-list"><p>{PROSE}</p></div></body>',
+    ],
+)
+def test_html_marks_are_whole_words(source):
+    assert main_text(source) == PROSE.strip()
+
+
+def test_html_headings_keep_their_ids_and_boilerplate_goes():
+    page = f'<article><h2 id="share-prices">Share prices</h2><p>{PROSE}</p><div id="comment-7"><p>{PROSE}</p></div><div class="page-footer">f</div></article>'
+    assert main_text(page) == f"Share prices\n\n{PROSE.strip()}"
+
+
+def test_html_without_article_leaves_slogans_out():
+    body = f"<div class=story><h1>Title</h1><div class=text><p>{PROSE}</p><p>{PROSE}</p></div></div>"
+    page = f"<html><body><div>The best paper in town</div>{body}<p>(c) 2020 The paper</p></body></html>"
+    assert main_text(page) == f"Title\n\n{PROSE.strip()}\n\n{PROSE.strip()}"
+    beside = f"<html><body><div class=story><div class=intro><p>{PROSE}</p></div><div class=text><p>{PROSE * 3}</p></div></div></body></html>"
+    assert main_text(beside) == f"{PROSE.strip()}\n\n{(PROSE * 3).strip()}"
+
+
+def test_html_hosts_vote(spark):
+    """Two hosts without article: each page follows its host's layout, also one that looks otherwise."""
+    def page(i, inner):
+        return f"<html><body><div class=nav-top><a href=/>home</a></div><div class='{inner} n{i}'><p>{PROSE}</p><p>page {i}</p></div><div class=note><p>{'odd ' * (300 if i == 3 else 2)}</p></div></body></html>"
+
+    rows = [(10 * h + i, f"http://h{h}.net/{i}", page(i, ("story", "text")[h])) for h in (0, 1) for i in range(6)]
+    out = H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["text"] for r in out} == {f"{PROSE.strip()}\n\npage {i}" for i in range(6)}
+    assert {r["path"] for r in out} == {"html>body>div.n.story", "html>body>div.n.text"} and all(r["consensus"] for r in out)
