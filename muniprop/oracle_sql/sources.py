@@ -97,13 +97,16 @@ def _digest(table: str, cols: list[str]) -> str:
 
 def gate(x: str) -> str:
     bare = f"regexp_replace(regexp_replace({x}, {_lit(sqlapi.QUOTED)}, 'q', 'g'), {_lit(sqlapi.COMMENTS)}, ' ', 'g')"
-    outside = "bare"
-    for _ in range(sqlapi.NESTING):
-        outside = f"regexp_replace({outside}, {_lit(sqlapi.INNERMOST)}, ' ', 'g')"
+    step = (
+        "lambda a, x: {'d': greatest(a.d + CASE x.t WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END, 0), "
+        "'t': CASE WHEN x.t = ')' THEN a.t || ' ' WHEN x.t = '(' OR a.d > 0 THEN a.t ELSE a.t || x.t END}"
+    )
+    pieces = f"list_transform(regexp_extract_all(bare, {_lit(sqlapi.PIECES)}), lambda p: {{'d': 0, 't': p}})"
+    outside = f"CASE WHEN first = 'with' THEN list_reduce(list_prepend({{'d': 0, 't': ''}}, {pieces}), {step}) END"
     reads = ", ".join(_lit(w) for w in sorted(sqlapi.READ_PREFIXES))
     return (
-        f"SELECT doc_id, CASE WHEN first IN ({reads}) AND NOT (first = 'with' AND (regexp_matches(outside, {_lit(sqlapi.OPENS_WRITE)}) "
-        f"OR contains(outside, '('))) THEN 'read' ELSE 'write' END AS verdict FROM (SELECT doc_id, first, {outside} AS outside FROM ("
+        f"SELECT doc_id, CASE WHEN first IN ({reads}) AND NOT (first = 'with' AND (regexp_matches(outside.t, {_lit(sqlapi.OPENS_WRITE)}) "
+        f"OR outside.d > 0)) THEN 'read' ELSE 'write' END AS verdict FROM (SELECT doc_id, first, {outside} AS outside FROM ("
         f"SELECT doc_id, bare, lower(regexp_extract(bare, {_lit(sqlapi.FIRST_WORD)}, 1)) AS first FROM (SELECT doc_id, {bare} AS bare FROM "
     )
 

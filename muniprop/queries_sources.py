@@ -317,6 +317,9 @@ GATE_PROBES = [
     "-- comment\nSELECT 1",
     "(SELECT 1)",
     "",
+    f"WITH t AS (SELECT {'(' * 30}1{')' * 30} AS n) SELECT n FROM t",
+    f"WITH t AS (SELECT {'(' * 30}1{')' * 30} AS n) INSERT INTO x SELECT n FROM t",
+    "WITH t AS (SELECT (1 AS n) SELECT n FROM t",
 ]
 
 

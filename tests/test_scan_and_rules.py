@@ -207,3 +207,18 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
     Context.master = "local-cluster[3,2,1000]"
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+@pytest.mark.parametrize(
+    ("statement", "runs"),
+    [
+        (f"WITH t AS (SELECT {'(' * 30}1{')' * 30} AS n) SELECT n FROM t", True),
+        ("WITH t AS (SELECT 1 AS `insert`) SELECT `insert` FROM t", True),
+        (f"WITH t AS (SELECT {'(' * 30}1{')' * 30} AS n) INSERT INTO x SELECT n FROM t", False),
+        ("WITH t AS (SELECT 1 AS n) DELETE FROM x", False),
+        ("WITH a AS (SELECT 1 AS n) MERGE INTO x USING a ON x.n = a.n WHEN MATCHED THEN DELETE", False),
+        ("INSERT INTO x VALUES (1)", False),
+    ],
+)
+def test_the_parser_decides_what_runs(spark, statement, runs):
+    assert sqlapi.may_run(spark, statement) == runs
