@@ -7,6 +7,7 @@ nested as rank-ordered ``array<struct>`` columns.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,11 +34,17 @@ def package_facts(props: DataFrame, path: str | None = None) -> Facts:
     of single municipalities need no scan of the whole table."""
     props = R.with_key(props)
     made = Facts(R.key_metrics(props), R.grouped_facts(props), R.detail_lists(props))
-    if path is None:
-        return Facts(*[materialize(f, f"facts-{name}") for name, f in zip(Facts._fields, made, strict=True)])
-    for name, f in zip(Facts._fields, made, strict=True):
-        f.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-    return read_facts(props.sparkSession, path)
+
+    def store(name: str) -> DataFrame:
+        if path is None:
+            return materialize(getattr(made, name), f"facts-{name}")
+        folder = f"{path.rstrip('/')}/{name}"
+        getattr(made, name).write.mode("overwrite").parquet(folder)
+        return props.sparkSession.read.parquet(folder)
+
+    # Three independent jobs: one fills the cluster where another's last tasks leave it idle.
+    with ThreadPoolExecutor(len(Facts._fields)) as jobs:
+        return Facts(*jobs.map(store, Facts._fields))
 
 
 def read_facts(spark: SparkSession, path: str) -> Facts:

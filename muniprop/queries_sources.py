@@ -130,8 +130,19 @@ INC_CHANGED, INC_GONE, INC_NEW = 1003, 1005, 1007
 INC_SECOND_SQL = f"kommunenummer <> {INC_GONE} AND NOT (kommunenummer = {INC_CHANGED} AND row_no % 2 = 0)"
 
 
+_BUILT: dict[tuple[str, str], tuple[str, I.Build]] = {}
+
+
 def second_build(spark: SparkSession, sf_dir: str) -> tuple[str, I.Build]:
-    """Two builds over sheets that change in between; returns the table's root and the second."""
+    """Two builds over sheets that change in between; returns the table's root and the second. The
+    queries that look at it share one in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = _two_builds(spark, sf_dir)
+    return _BUILT[key]
+
+
+def _two_builds(spark: SparkSession, sf_dir: str) -> tuple[str, I.Build]:
     base = scratch_path(spark, f"incremental-{uuid.uuid4().hex}")
     rows, root = fx.fx_raw(spark, sf_dir), f"{base}/table"
     number = F.col("kommunenummer")

@@ -61,9 +61,11 @@ def main() -> None:
         ("Grouped facts for K05/K09/K12/K13/K14: one Expand + one aggregation", R.grouped_facts(props)),
         ("Fused per-municipality scan (K04/K18/K20/K22/K23)", R.key_metrics(props)),
         ("P03 ownership filter: row-local, no exchange", ownership_filter(raw)),
-        ("D01 backfill: distinct (source,key,address) partial aggregation; only rows to fill join", backfill_alt_addresses(ownership_filter(raw))),
+        ("D01 backfill: lookup from narrow columns, one left join", backfill_alt_addresses(ownership_filter(raw))),
         ("D03 categories: broadcast joins of fixed code tables", add_building_category(raw).select("row_no", "forenklet_bygningskategori")),
-        ("D05 sub-unit merge", merge_subunits(raw)),
+        ("D05 sub-unit merge: hash aggregation of first entries", merge_subunits(raw)),
+        ("S08 the loaded rows: the kept rows read in full once, twice for a few columns", PL.properties_rows(raw)),
+        ("K07/K16/K17/K19/K21 in one scan, one ranking", R.detail_lists(props)),
         ("D07 statistics: one scan, conditional counts", PL.statistics(raw)),
     ]
     out = ["# PLANS — physical plans of the key operators (AQE off to show the static shape)\n",
