@@ -226,3 +226,13 @@ def test_stages_return_the_columns_of_documents(edge_docs, spark, sf_dir):
         out = step(spark, docs, sf_dir)
         assert out.columns == docs.columns
         docs = out
+
+
+def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, str(tmp_path))
+        assert docs.columns == table(spark, sf_dir, "documents").columns and docs.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
