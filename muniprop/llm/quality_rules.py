@@ -1,8 +1,9 @@
 """Operator 5, quality rules: a short-circuit cascade ordered by rejection per cost.
 
 Features are native Column expressions over the whole text. Rules are predicates over them.
-``plan_cascade`` measures each rule's cost (seconds over a bounded sample, by an aggregate over them)
-and selectivity (share of the sample it rejects) and orders the rules by rejection per cost;
+``plan_cascade`` estimates each rule's cost (operations of its features over the texts of a hash
+sample) and selectivity (rows it rejects of those that earlier rules leave) and orders the rules by
+rejection per cost, alike on every run;
 ``cascade`` evaluates them in that order inside one CASE, so a row stops at its first hit.
 The order never changes a verdict, only the work and the reported first rule.
 
@@ -13,15 +14,15 @@ are kept as they are (computed names get a leading underscore if one clashes).
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from muniprop.llm.common import SPACES, WORD, fresh, stage, table
+from muniprop.llm.common import SPACES, WORD, fresh, table
 
-SAMPLE_ROWS = 400  # rows on which cost and selectivity are estimated
+SAMPLE_ROWS = 400  # expected rows of the hash sample on which cost and selectivity are estimated
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -144,20 +145,49 @@ def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[
     return base.withColumns(out).drop(w), names
 
 
+def feature_work(text: Column, words: Column) -> dict[str, Column]:
+    """Operations that a feature takes on one text, in characters read or written: a pattern that
+    replaces reads and writes each, lines are split and asked, their set is hashed; windows hash
+    three words each and are sorted. The words themselves are split once for all rules."""
+    chars = F.char_length(F.coalesce(text, F.lit("")))
+    n = F.size(words)
+    work = {
+        "n_words": F.lit(0), "word_chars": 2 * chars, "n_symbols": 2 * chars, "n_lines": 2 * chars, "n_dup_lines": chars,
+        "n_repeat_words": 3 * chars + n * F.ceil(F.log2(n + F.lit(2))),
+    }
+    return {k: c.cast("bigint") for k, c in work.items()}
+
+
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules ordered by rejection per second on a bounded sample (the only sampled step;
-    it decides the order of evaluation, never a verdict)."""
-    sample = stage(docs.select(F.col(text).cast("string").alias("t")).limit(sample_rows), "cascade-sample")
-    n = max(1, sample.count())
-    feats = feature_columns(F.col("t"))
-    scored = []
-    for r in rules:
-        hits = sample.select(*[feats[k].alias(k) for k in r.needs]).agg(F.coalesce(F.sum(F.expr(r.rejects).cast("int")), F.lit(0)))
-        began = time.perf_counter()
-        rejected = hits.first()[0]
-        cost = max(1e-4, time.perf_counter() - began)
-        scored.append((-(rejected / n) / cost, cost, r))
-    return [r for _, _, r in sorted(scored, key=lambda x: x[:2])]
+    """Rules ordered by rejection per cost on a hash sample of about ``sample_rows`` rows (the only
+    sampled step; it decides the order of evaluation, never a verdict).
+
+    A rule's cost is the number of operations its features take on the sampled texts, so equal
+    tables always give equal orders. One aggregation counts the rows of each pattern of hits; the
+    next rule is the one that rejects most of the rows that are left per cost (ties: the cheaper,
+    then the earlier rule)."""
+    n = docs.count()
+    if not n or not rules:
+        return list(rules)
+    sample = docs
+    if n > sample_rows:
+        keys = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+        sample = docs.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int((1 << 40) * sample_rows / n))
+    sample = sample.select(F.col(text).cast("string").alias("t")).withColumn("w", word_array(F.col("t")))
+    feats = feature_columns(F.col("t")) | {"n_words": F.size("w").cast("bigint"), "n_repeat_words": repeated_word_count(F.col("w"))}
+    work = feature_work(F.col("t"), F.col("w"))
+    needed = sorted({k for r in rules for k in r.needs})
+    seen = sample.select(*[feats[k].alias(k) for k in needed], *[work[k].alias(f"work_{k}") for k in needed])
+    hits = F.array(*[F.coalesce(F.expr(f"({r.rejects})"), F.lit(False)) for r in rules])
+    found = seen.groupBy(hits.alias("hits")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"work_{k}").alias(k) for k in needed]).collect()
+    cost = [sum(g[k] for g in found for k in r.needs) + sum(g["n"] for g in found) for r in rules]
+    left, order = list(range(len(rules))), []
+    while left:
+        alive = [g for g in found if not any(g["hits"][i] for i in order)]
+        rate = {i: sum(g["n"] for g in alive if g["hits"][i]) / max(1, cost[i]) for i in left}
+        order.append(min(left, key=lambda i: (-rate[i], cost[i], i)))
+        left.remove(order[-1])
+    return [rules[i] for i in order]
 
 
 def first_rule(rules: list[Rule], names: dict[str, str]) -> Column:

@@ -53,6 +53,22 @@ def test_quality_order_is_by_rejection_per_cost(spark):
     assert order[0].name == "symbols"  # the only one that rejects here
 
 
+def test_quality_order_is_the_same_on_every_run_and_puts_dear_weak_rules_last(spark):
+    rng = random.Random(2)
+    plain = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 4 + str(rng.randrange(10**6)) for _ in range(200)) for _ in range(900)]
+    rows = [(i, t + (" %%%" * 150 if i % 3 == 0 else "")) for i, t in enumerate(plain)] + [(900, "x y z " * 100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rules = (*Q.BASE_RULES, *Q.METHOD_RULES)
+    orders = [[r.name for r in Q.plan_cascade(docs.repartition(n), rules, sample_rows=m)] for n, m in ((1, 400), (2, 400), (5, 400))]
+    assert orders[0] == orders[1] == orders[2]
+    assert orders[0][0] == "symbols"
+    # The dear rule rejects one row, which a cheaper one rejects too.
+    dear = Q.Rule("dear", "n_repeat_words > 250 and n_words < 320", ("n_words", "n_repeat_words"))
+    order = [r.name for r in Q.plan_cascade(docs, (dear, *Q.METHOD_RULES), sample_rows=10_000)]
+    assert order[0] == "symbols" and order[-1] == "dear"
+    assert Q.plan_cascade(docs.where("false"), rules) == list(rules)
+
+
 def plain_verdict(url, rules, default="allow"):
     host = path = ""
     if url and "://" in url:
