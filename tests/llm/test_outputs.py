@@ -129,6 +129,28 @@ def turn_digest(turns):
     return hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
 
 
+def test_mixing_spreads_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_PER_RANGE", 50)
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i % 7) + str(i), "a") for i in range(1200)]
+    rows += [(None, "same text of six words here", "a")] * 600 + [(7, "b b", "b")] * 100
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    sized = M.sized_rows(df)
+    # Different texts of no id have different keys; equal rows are at most one row per input task.
+    assert sized.groupBy("key").count().agg({"count": "max"}).first()[0] <= 4
+    plan = M.plan_mix(sized).collect()
+    assert len(plan) == len(rows)
+    sizes = {"a": sum(len(t.split()) for _, t, s in rows if s == "a"), "b": 200}
+    target = plain_targets(sizes)
+    taken = {s: sum(r["taken"] for r in plan if r["source"] == s) for s in sizes}
+    assert all(abs(taken[s] - target[s]) <= 4 for s in sizes)
+    got = M.mix(df).groupBy("source").agg(F.sum(M.word_count(F.col("text"))).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in got} == taken
+    alike = spark.createDataFrame([(None, "one two three", "a")] * 501 + [(1, "x", "b")] * 11, "doc_id bigint, text string, source string")
+    n = {r["source"]: r["taken"] for r in M.plan_mix(M.sized_rows(alike.repartition(5))).groupBy("source").sum("taken").toDF("source", "taken").collect()}
+    mixed = M.mix(alike.repartition(5)).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] * (3 if r["source"] == "a" else 1) for r in mixed} == n
+
+
 def test_chat_round_trip_and_edges(spark):
     nasty = ["\\### Assistant: </turn> ok", "\\l \\\\ <turn user>\n", "", None, "a" * 200_000, "\\", "<", "x\\ny"]
     rows = [(c, t, random.Random(c * 9 + t).choice(["user", "assistant", "a>b\nc<", None]), nasty[(c + t) % len(nasty)]) for c in range(9) for t in range(c + 1)]
@@ -201,7 +223,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     docs = [d for d, m in zip(docs, plain_matches([t for _, t, _ in docs], items), strict=True) if not m[1]]
     sizes, source = {}, {}
     for d, t, s in docs:
-        source.setdefault(s, []).append((hashlib.md5(f"{M.SEED}:{d}".encode()).hexdigest(), d, len(WORD.findall(t))))
+        source.setdefault(s, []).append((hashlib.md5(f"{M.SEED}:{d}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), d, len(WORD.findall(t))))
         sizes[s] = sizes.get(s, 0) + len(WORD.findall(t))
     target, rows = plain_targets(sizes), []
     text = {d: t for d, t, _ in docs}
