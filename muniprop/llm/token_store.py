@@ -22,9 +22,9 @@ pre-tokenizer always cuts before such a space, and between a letter or digit and
 a text with any other white space is encoded whole. Results equal those of encoding each whole text (tested against it).
 
 Defined results: null and empty texts hold only the end id; null ids come first; repeated ids
-keep all their rows, next to each other, ordered by their encoded ids; an empty table gives an
-empty store; other columns are ignored. One id on very many rows is spread over the shards
-whose bounds it fills.
+keep all their rows, next to each other, ordered by their encoded ids inside a shard; an empty table
+gives an empty store; other columns are ignored. One id on very many rows is spread over the shards
+whose bounds it fills, rows without id over leading shards of their own, in proportion to them.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -322,27 +323,47 @@ class Block:
         return out
 
 
-def shard_bounds(docs: DataFrame, doc_id: str, shards: int) -> list[int]:
-    """Ids at which the shards begin (all but the first): quantiles of the non-null ids."""
+def shard_bounds(docs: DataFrame, doc_id: str, shards: int) -> tuple[int, list[int]]:
+    """Number of leading shards for rows without id (in proportion to them; 0: they share the
+    first shard), and the ids at which the other shards begin (all but the first): quantiles of
+    the ids."""
     if shards < 2:
-        return []
+        return 0, []
+    key = F.col(doc_id).cast("bigint")
     cuts = [i / shards for i in range(1, shards)]
-    return docs.agg(F.percentile_approx(F.col(doc_id).cast("bigint"), cuts, 20_000)).first()[0] or []
+    n, known, at = docs.agg(F.count(F.lit(1)), F.count(key), F.percentile_approx(key, cuts, 20_000)).first()
+    empty = min(shards - 1, shards * (n - known) // max(1, n))
+    # The shards that are left begin at evenly chosen ones of the quantiles.
+    rest = shards - empty
+    return empty, [at[i * shards // rest - 1] for i in range(1, rest)] if at else []
 
 
-def encode_rows(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """(key, shard, width, ids) of every row."""
+def encode_rows(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int, bounds: list[int], empty: int = 0) -> DataFrame:
+    """(key, shard, width, ids) of every row. Rows of an id that fills several shards, or of none, are
+    spread over them by the digest of their ids and, for equal rows of a task, by their number; so
+    the same rows always give the same shards, in whatever order a task reads them."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     cuts = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path, end_id)
+        encoder, met = encoder_of(path, end_id), {}
+
+        def spread(key: int, ids: bytes, width: int) -> int:
+            name = (key, xxhash.xxh3_128_digest(ids))
+            met[name] = met.get(name, -1) + 1
+            return (zlib.crc32(ids) + met[name]) % width
+
         for b in bounded(batches, 1, 4 << 20):
             raw = encoder.encode(b.column(1).to_pylist())
+            none = b.column(0).is_null().to_numpy(zero_copy_only=False).tolist()
             key = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
-            # An id that fills several bounds is spread over their shards by its ids' checksum.
-            shard = [lo if lo >= hi - 1 else lo + 1 + zlib.crc32(r) % (hi - lo) for lo, hi, r in zip(low.tolist(), high.tolist(), raw, strict=True)]
+            shard = []
+            for k, no_id, lo, hi, r in zip(key.tolist(), none, low.tolist(), high.tolist(), raw, strict=True):
+                if no_id:
+                    shard.append(spread(k, r, empty) if empty > 1 else 0)
+                else:
+                    shard.append(empty + (lo if lo >= hi - 1 else lo + 1 + spread(k, r, hi - lo)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(shard, pa.int32()), pa.array([encoder.width] * len(raw), pa.int32()), pa.array(raw, pa.binary())],
                 names=["key", "shard", "width", "ids"],
@@ -356,8 +377,8 @@ def write_store(docs: DataFrame, store: str, doc_id: str = "doc_id", text: str =
     """Encode ``docs`` and write the store at ``store``; returns its path."""
     spark = docs.sparkSession
     shards = shards or partitions(spark)
-    bounds = shard_bounds(docs, doc_id, shards)
-    rows = encode_rows(docs, doc_id, text, tokenizer or tokenizer_path(), end_id, bounds)
+    empty, bounds = shard_bounds(docs, doc_id, shards)
+    rows = encode_rows(docs, doc_id, text, tokenizer or tokenizer_path(), end_id, bounds, empty)
     dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

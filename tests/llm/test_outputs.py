@@ -76,6 +76,27 @@ def test_token_store_round_trip(spark, edge_docs, no_docs):
     assert T.read_documents(spark, T.write_store(no_docs, stage_path(spark, "test"))).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 50])
+def test_token_store_spreads_one_id(spark, hot):
+    rows = [(i, f"text number {i}") for i in range(400)] + [(hot, "equal text")] * 200 + [(hot, f"hot {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    store = T.write_store(df, stage_path(spark, "test"), shards=10, block_tokens=60)
+    got = T.read_documents(spark, store).orderBy("start").collect()
+    ids = sorted((len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in encode([t for _, t in rows]))
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got) == ids
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert [r["start"] for r in got] == np.concatenate(([0], np.cumsum([r["n_tokens"] for r in got])[:-1])).tolist()
+    shards = {}
+    for r in got:
+        shards[r["shard"]] = shards.get(r["shard"], 0) + 1
+    assert len(shards) >= 9 and max(shards.values()) <= 3 * sorted(shards.values())[len(shards) // 2]
+    # The same rows in another order and dealt alike lie in the same shards.
+    again = T.read_documents(spark, T.write_store(df.sortWithinPartitions(F.desc("text")), stage_path(spark, "test"), shards=10, block_tokens=60))
+    assert sorted(tuple(r) for r in again.groupBy("shard").count().collect()) == sorted(shards.items())
+    lone = T.write_store(df.selectExpr("cast(null as bigint) as doc_id", "text"), stage_path(spark, "test"), shards=4)
+    assert T.read_documents(spark, lone).count() == len(rows)
+
+
 def plain_targets(sizes):
     """Targets by the iteration that the contract words."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
