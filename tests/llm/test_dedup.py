@@ -207,6 +207,34 @@ def plain_matches(texts, items, window=10):
     return out
 
 
+def plain_longest(text, items, window=10):
+    """Longest of the matches that no equal word on either side continues, by item and word of it."""
+    d, best = BENCH_WORD.findall(lower(text)), {}
+    for name, t in items:
+        w = BENCH_WORD.findall(lower(t))
+        for j in range(len(w)):
+            for i in range(len(d)):
+                if i and j and d[i - 1] == w[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(d) and j + n < len(w) and d[i + n] == w[j + n]:
+                    n += 1
+                if n >= min(window, len(w)):
+                    key = ("null" if name is None else str(name), tuple(w), j)
+                    best[key] = min(best.get(key, (0, 0)), (-n, i))
+    return sorted({(i, -n, name, j) for (name, _, j), (n, i) in best.items()})
+
+
+def test_longest_matches_of_repeated_words():
+    test = D.TestItems([("a", "x " * 300), ("b", "y x x z")], window=3)
+    _, spans, items, longest = D.match_shard(["x " * 400 + "z", "q y x x z x x x", "", None], test)
+    assert spans[0] == [(0, 401)] and spans[1] == [(1, 8)] and not spans[2] and not spans[3]
+    assert items[:2] == [[0, 1], [0, 1]] and (1, 4, 1, 0) in longest[1] and (0, 300, 0, 0) in longest[0]
+    names = [("a", "x " * 300), ("b", "y x x z")]
+    for t, got in (("x " * 400 + "z", longest[0]), ("q y x x z x x x", longest[1])):
+        assert [(a, n, test.names[i], j) for a, n, i, j in got] == plain_longest(t, names, 3)
+
+
 @pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 25])
 def test_decontamination_brute_force(spark, edge_docs, block_words):
     rng = random.Random(4)
@@ -223,6 +251,11 @@ def test_decontamination_brute_force(spark, edge_docs, block_words):
     assert sorted((r["doc_id"], r["n_words"], size(r["spans"]), list(r["items"])) for r in got) == sorted(
         (i % 50, *p) for i, p in enumerate(plain)
     )
+    places = lambda r: [tuple(m) for m in r["longest"]]
+    # Long texts without a match are left out of the plain search.
+    assert sorted((r["doc_id"], r["n_words"], places(r)) for r in got) == sorted(
+        (i % 50, p[0], plain_longest(t, items) if p[1] else []) for i, (t, p) in enumerate(zip(texts, plain, strict=True))
+    )
     clean = D.remove_contaminated(docs, bench, block_words=block_words)
     assert clean.columns == docs.columns
     assert sorted(r["text"] or "" for r in clean.collect()) == sorted((t or "") for t, p in zip(texts, plain, strict=True) if not p[1])
