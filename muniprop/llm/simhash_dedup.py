@@ -7,7 +7,8 @@ from its vantage point, and the triangle bound |d(a,v) - d(b,v)| <= d(a,b) tells
 neighbour within ``max_bits`` can be on. Every point is stored in its own shard (leaf) and sent
 as a query to the other shards its ball overlaps (only those with a larger number: the pair is
 found once). Inside a shard the same tree is built over its points and pruned the same way, so
-pairs are compared exactly only in overlapping leaves. A shard reports a spanning forest of its
+pairs are compared exactly only in overlapping leaves. A shard that the tree cannot split (a dense
+ball, seen in the sample) is cut into blocks, each pair of blocks a group of its own. A shard reports a spanning forest of its
 links, never all pairs; components are joined over those links in Spark.
 
 Sampled: only the vantage points (``TREE_SAMPLE`` fingerprints on the driver, 8 bytes each).
@@ -91,20 +92,19 @@ def split_of(points: np.ndarray, seed: int, bits: int) -> tuple[np.uint64, int]
     return best and (best[1], best[2])
 
 
-def build_tree(points: np.ndarray, leaf: int, bits: int) -> tuple[Tree, int]:
-    """Tree over a sample and its number of leaves; leaves are numbered from left to right."""
-    count = 0
+def build_tree(points: np.ndarray, leaf: int, bits: int) -> tuple[Tree, list[int]]:
+    """Tree over a sample and the sample points of each leaf; leaves are numbered from left to right."""
+    sizes: list[int] = []
 
     def grow(p: np.ndarray, depth: int) -> Tree:
-        nonlocal count
         cut = split_of(p, len(p) + depth, bits) if len(p) > leaf and depth < 40 else None
         if cut is None:
-            count += 1
-            return count - 1
+            sizes.append(len(p))
+            return len(sizes) - 1
         inside = np.bitwise_count(p ^ cut[0]) <= cut[1]
         return (cut[0], cut[1], grow(p[inside], depth + 1), grow(p[~inside], depth + 1))
 
-    return grow(np.unique(points), 0), max(1, count)
+    return grow(np.unique(points), 0), sizes
 
 
 def walk(tree: Tree, fps: np.ndarray, at: np.ndarray, reach: int, out: list[tuple[int, np.ndarray]]) -> None:
@@ -168,16 +168,35 @@ def spanning_forest(n: int, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return parent
 
 
-def shard_links(fps: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(fps: np.ndarray, home: np.ndarray, bits: int, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (a, b) among a shard's home points and the visiting queries. ``home`` marks
-    the points; visitors are compared with points only."""
+    the points; visitors are compared with points only, the points with one another if ``among``."""
     points = fps[home]
     order = np.concatenate([np.nonzero(home)[0], np.nonzero(~home)[0]])
-    root = spanning_forest(len(fps), links_within(points, fps[order], bits))
+    skip = 0 if among else len(points)
+    found = ((a, b + skip) for a, b in links_within(points, fps[order[skip:]], bits))
+    root = spanning_forest(len(fps), found)
     far = np.nonzero(root != np.arange(len(fps)))[0]
     return fps[order[far]], fps[order[root[far]]]
 
 
+def cells(blocks: int, fp: np.ndarray, own: bool) -> Iterator[tuple[int, int, np.ndarray, bool]]:
+    """(point block, query block, positions, home) of a shard's fingerprints. The fingerprints of a
+    shard that no vantage point splits are dealt to ``blocks`` by a hash, as points and as queries, and
+    each pair of blocks is a group of its own. Points are wanted wherever queries of a block meet
+    them; as queries, they meet the smaller blocks only, so a pair is compared once."""
+    if blocks == 1:
+        yield 0, 0, np.arange(len(fp)), own
+        return
+    block = ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(blocks)
+    for b in range(blocks):
+        at = np.nonzero(block == b)[0]
+        if len(at):
+            if own:
+                yield from ((b, q, at, True) for q in range(blocks))
+            yield from ((p, b, at, False) for p in range(b if own else blocks))
+
+
 def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that connect exactly the distinct fingerprints ``fps`` (column fp) that are
     connected by steps of at most ``bits`` differing bits."""
@@ -186,7 +205,9 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     # A hash-random sample (the lowest hashes), so a rerun builds the same tree.
     sample = [r["fp"] for r in fps.orderBy(F.xxhash64("fp", F.lit(7))).limit(take).collect()]
     leaf = max(8, len(sample) * SHARD_POINTS // max(1, n))
-    tree, _ = build_tree(np.array(sample, np.int64).view(np.uint64), leaf, bits)
+    tree, sizes = build_tree(np.array(sample, np.int64).view(np.uint64), leaf, bits)
+    # Leaves that stayed far above the intended size are dense balls: cut into blocks.
+    blocks = [max(1, -(-size * n // (2 * SHARD_POINTS * max(1, len(sample))))) for size in sizes]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,20 +221,25 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 own[at] = shard
             walk(tree, fp, every, bits, near)
             for shard, at in near:
-                at = at[own[at] <= shard]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), shard, np.int32)), pa.array(fp[at].view(np.int64)), pa.array(own[at] == shard)],
-                        names=["shard", "fp", "home"],
-                    )
-
-    def search(batch: pa.Table) -> pa.Table:
+                for mine in (True, False):
+                    some = at[own[at] == shard] if mine else at[own[at] < shard]
+                    for p, q, which, is_home in cells(blocks[shard], fp[some], mine):
+                        if len(which):
+                            size = len(which)
+                            yield pa.RecordBatch.from_arrays(
+                                [*(pa.array(np.full(size, x, np.int32)) for x in (shard, p, q)), pa.array(fp[some[which]].view(np.int64)),
+                                 pa.array(np.full(size, is_home))],
+                                names=["shard", "p", "q", "fp", "home"],
+                            )
+
+    def search(key: tuple, batch: pa.Table) -> pa.Table:
         fp = batch.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        a, b = shard_links(fp, batch.column("home").to_numpy().astype(bool), bits)
+        among = key[1].as_py() == key[2].as_py()
+        a, b = shard_links(fp, batch.column("home").to_numpy().astype(bool), bits, among)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    routed = fps.select("fp").mapInArrow(route, "shard int, fp bigint, home boolean")
-    return routed.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
+    routed = fps.select("fp").mapInArrow(route, "shard int, p int, q int, fp bigint, home boolean")
+    return routed.groupBy("shard", "p", "q").applyInArrow(search, "a bigint, b bigint")
 
 
 def rows_and_components(docs: DataFrame, doc_id: str, text: str, bits: int) -> tuple[DataFrame, DataFrame]:

@@ -180,6 +180,34 @@ def test_vantage_shards_find_every_link(spark, monkeypatch):
     assert groups({f: roots.get(f, f) for f in signed}) == groups(dict(zip(signed, comp, strict=True)))
 
 
+def test_a_dense_ball_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_POINTS", 40)
+    rng = random.Random(3)
+    center = rng.getrandbits(64)
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    while len(fps) < 1500:
+        x = center
+        for bit in rng.sample(range(64), rng.choice((2, 3, 3, 3))):
+            x ^= 1 << bit
+        fps.add(x)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp bigint").repartition(3)
+    _, leaves = S.build_tree(S.np.array(fps, S.np.uint64), 40, S.MAX_BITS)
+    assert max(leaves) > 10 * 40  # the ball stays one leaf
+    roots = {r["node"]: r["root"] for r in connected_components(S.fingerprint_links(df)).collect()}
+    comp = plain_components(fps, signed)
+    groups = lambda label: sorted(sorted(f for f in signed if label[f] == v) for v in set(label.values()))
+    assert groups({f: roots.get(f, f) for f in signed}) == groups(dict(zip(signed, comp, strict=True)))
+    # Each point meets each query in exactly one pair of blocks.
+    fp, met = S.np.array(fps, S.np.uint64), {}
+    for p, q, at, home in S.cells(7, fp, True):
+        met.setdefault((p, q), ([], []))[0 if home else 1].extend(at.tolist())
+    pairs = [(a, b) for (p, q), (home, asked) in met.items() for a in home for b in (asked if p != q else home) if p != q or a < b]
+    assert len(pairs) == len({(min(x), max(x)) for x in pairs}) == len(fps) * (len(fps) - 1) // 2
+    assert max(len(h) + len(a) for h, a in met.values()) < len(fps) / 2
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, j) for j in range(1001, 1400)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
