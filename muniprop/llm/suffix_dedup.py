@@ -6,7 +6,10 @@ suffixes that can matter are dealt to buckets by content, then each bucket is so
 1. Every window has an anchor: its leftmost 50-gram of smallest hash. Equal windows have equal
    anchors at equal offsets, so windows are compared only inside the bucket of their anchor's
    hash. An anchor owns a run of window starts; the bytes of those windows are its chunk. One
-   pass over the texts writes (anchor hash, chunk hash, place) per run, about one per 75 bytes.
+   pass over the texts stores each under a row number, with (anchor hash, chunk hash, place) per
+   run, about one per 75 bytes. Where a text repeats itself with a short period (a line of one
+   sign), its runs have equal chunks one after another: those between the first and the last of
+   such a stretch are repeated already and stored as one span.
 2. Buckets with one run hold nothing repeated. Runs whose chunk occurs twice or more are
    repeated as a whole (exact copies and unchanged stretches end here, counted by partial
    aggregation: a group of copies of any size costs a few rows per task).
@@ -18,7 +21,8 @@ suffixes that can matter are dealt to buckets by content, then each bucket is so
    sample. Neighbours in this order that agree on a whole window are repeated.
    Memory is bounded by the block; a bucket with more than ``MAX_KINDS`` chunks is not sorted
    in one task but compared window by window through a distributed aggregation.
-4. Runs of repeated starts are united per text; texts with removals are read once more.
+4. Runs of repeated starts are united per text; texts with removals are read once more, by row
+   number, so rows of equal id and text are never multiplied.
 
 Work is done once per distinct text: a text that occurs twice or more is removed as a whole.
 Hashes of 64 bits select buckets, and bucket and chunk hash together (128 bits) stand for equal
@@ -121,31 +125,50 @@ def unpack(q: int) -> tuple[int, int, int]:
     return place, first, first + (q & 255)
 
 
+def inner(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which runs have the anchor hash and chunk hash of the run before and of the run after."""
+    out = np.zeros(len(h), bool)
+    like = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    out[1:-1] = like[1:] & like[:-1]
+    return out
+
+
 def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, digest, n_bytes, h, c, q): one row per document with its runs."""
+    """(doc_id, digest, n_bytes, text, h, c, q, own): one row per document with its runs; ``own``
+    holds the stretches of runs left out (first start times 2^31, plus the starts after it)."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest_of = xxhash.xxh3_64_intdigest
         for b in bounded(batches, 1, 8 << 20):
-            digests, sizes, hs, cs, qs, ends = [], [], [], [], [], [0]
+            digests, sizes, arrays = [], [], []
+            lists: list[list[np.ndarray]] = [[], [], [], []]
             for t in b.column(1).to_pylist():
                 raw = (t or "").encode()
                 digests.append(hashlib.sha256(raw).digest())
                 sizes.append(len(raw))
                 place, first, last, h = runs_of(np.frombuffer(raw, np.uint8))
                 spans = zip(first.tolist(), (last + WINDOW).tolist(), (place - first).tolist(), strict=True)
-                hs.append(h.view(np.int64))
-                cs.append(np.fromiter((digest_of(raw[i:j], a) for i, j, a in spans), np.uint64, len(h)).view(np.int64))
-                qs.append(pack(place, first, last))
-                ends.append(ends[-1] + len(h))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (hs, cs, qs)]
+                c = np.fromiter((digest_of(raw[i:j], a) for i, j, a in spans), np.uint64, len(h))
+                mid = inner(h, c)
+                own = [int(first[i]) << 31 | int(last[j] - first[i]) for i, j in ranges(mid)] if mid.any() else []
+                per_text = (h[~mid].view(np.int64), c[~mid].view(np.int64), pack(place, first, last)[~mid],
+                            np.array(own, np.int64))
+                for some, x in zip(lists, per_text, strict=True):
+                    some.append(x)
+            for some in lists:
+                ends = np.cumsum([0, *map(len, some)])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(some))))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists],
-                names=["doc_id", "digest", "n_bytes", "h", "c", "q"],
+                [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), b.column(1), *arrays],
+                names=["doc_id", "digest", "n_bytes", "text", "h", "c", "q", "own"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, digest binary, n_bytes bigint, h array<bigint>, c array<bigint>, q array<bigint>")
+    return rows.mapInArrow(
+        run,
+        "doc_id bigint, digest binary, n_bytes bigint, text string, "
+        "h array<bigint>, c array<bigint>, q array<bigint>, own array<bigint>",
+    )
 
 
 # ---------------------------------------------------------------- sorting one block of buckets
@@ -340,20 +363,16 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_ki
     )
     first = F.shiftright("q", 16) - F.shiftright("q", 8).bitwiseAND(F.lit(255).cast("bigint"))
     whole = whole.select("rid", first.alias("first"), (first + F.col("q").bitwiseAND(F.lit(255).cast("bigint"))).alias("last"))
-    # Chunks to sort, fetched from their texts.
+    # Stretches of equal runs: known from the texts alone.
+    own = s1.select("rid", F.explode("own").alias("o")).withColumn("first", F.shiftright("o", 31))
+    own = own.select("rid", "first", (F.col("first") + F.col("o").bitwiseAND(F.lit((1 << 31) - 1).cast("bigint"))).alias("last"))
+    # Chunks to sort, fetched from their texts by row number.
     needs = kinds.select("h", "copies", "one.rid", "one.q").groupBy("rid").agg(F.collect_list(F.struct("h", "copies", "q")).alias("needs"))
     single = texts_once.where("copies = 1").select("rid")
     touched = hits.select("rid").distinct().join(single, "rid")
     wanted = needs.join(touched.withColumn("touched", F.lit(True)), "rid", "full")
-    wanted = wanted.join(slim.select("rid", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")), "rid")
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    source = source.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    fetched = stage(
-        source.join(wanted, source["doc_id"].eqNullSafe(wanted["__id"]) & (source["digest"] == wanted["__digest"])).select(
-            "rid", "needs", "touched", "text"
-        ),
-        "sa-fetched",
-    )
+    long = s1.where(F.col("n_bytes") >= WINDOW).select("rid", "text")
+    fetched = stage(long.join(wanted, "rid").select("rid", "needs", "touched", "text"), "sa-fetched")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 2, 2 << 20):
@@ -378,7 +397,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_ki
         )
     else:
         marks = sort_buckets(chunks)
-    spans = whole.unionByName(marks).join(single, "rid").groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = whole.unionByName(own).unionByName(marks).join(single, "rid").groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     changed = fetched.where("touched").select("rid", "text").join(spans, "rid").select("rid", "spans", "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,40 @@ def test_suffix_dedup_edges(edge_docs, no_docs):
     assert A.removals(no_docs).count() == 0
 
 
+def test_periodic_texts_are_stored_as_stretches(spark):
+    rng = random.Random(8)
+    odd = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = ["-" * 5000, odd(300) + "=" * 900 + odd(300) + "=" * 450, "ab" * 700 + odd(250), "Z" * 201, "Z" * 202,
+             (odd(37) + "\n") * 40 + odd(400), (odd(180) + "|") * 12, odd(500) + " " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    runs = {r["doc_id"]: (len(r["h"]), len(r["own"])) for r in A.scan(df, "doc_id", "text").collect()}
+    assert runs[0] == (2, 1) and runs[7][0] < 40
+    got = sorted(tuple(map(str, r)) for r in A.removals(df).collect())
+    assert got == sorted((str(i), *map(str, e)) for i, e in enumerate(plain_removals(texts)))
+
+
+def test_rows_of_one_id_and_text_are_fetched_once(spark, monkeypatch):
+    rng = random.Random(9)
+    odd = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot = odd(600)
+    near = [hot[:280] + "#" + hot[280:], hot[:350] + odd(200), odd(90) + hot[100:500]]
+    rows = [(None, hot)] * 60 + [(7, hot)] * 30 + [(7, odd(400)) for _ in range(20)] + list(enumerate(near))
+    rng.shuffle(rows)
+    sizes = {}
+
+    def watch(df, name, real=A.stage):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(A, "stage", watch)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted(tuple(map(str, r)) for r in A.removals(df).collect())
+    expected = [(i, *e) for (i, _), e in zip(rows, plain_removals([t for _, t in rows]), strict=True)]
+    assert got == sorted(tuple(map(str, e)) for e in expected)
+    assert sizes["sa-fetched"] <= len(near) + 8  # not once per copy
+
+
 def test_long_text_is_cut_into_segments(monkeypatch):
     raw = np.frombuffer(("".join(random.Random(1).choice("abc") for _ in range(5000))).encode(), np.uint8)
     whole = A.runs_of(raw)
