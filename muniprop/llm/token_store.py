@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from muniprop.llm.common import bounded, partitions, stage_path, table
+from muniprop.llm.common import bounded, partitions, stage, stage_path, table
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -405,6 +405,7 @@ def write_store(docs: DataFrame, store: str, doc_id: str = "doc_id", text: str =
     return store
 
 
+KEYS_A_GROUP = 1_000_000  # asked keys that meet a block at a time
 FOUND = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("block", pa.int32()), ("ids", pa.list_(pa.int64()))])
 BLOCK_ARROW = pa.schema(
     [("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_tokens", pa.int64()),
@@ -457,6 +458,17 @@ def read_documents(spark: SparkSession, store: str) -> DataFrame:
     )
 
 
+def answers(row: dict, ask: np.ndarray) -> list[dict]:
+    """What a block holds of the asked keys."""
+    block = Block(row)
+    return [
+        {"doc_id": int(k), "shard": row["shard"], "block": row["block"], "ids": block.document(o)[1].astype(np.int64).tolist()}
+        for k, place in zip(ask.tolist(), block.lookup(ask), strict=True)
+        for o in place
+        if block.keys[o - block.n_null] == k
+    ]
+
+
 def lookup(spark: SparkSession, store: str, keys: list[int]) -> DataFrame:
     """(doc_id, shard, block, ids) of the documents with the given ids: only blocks whose key
     range holds one are read, and each is asked by its index."""
@@ -470,19 +482,61 @@ def lookup(spark: SparkSession, store: str, keys: list[int]) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 row = {k: v[0] for k, v in b.slice(i, 1).to_pydict().items()}
-                block = Block(row)
-                out = [
-                    {"doc_id": int(k), "shard": row["shard"], "block": row["block"], "ids": block.document(o)[1].astype(np.int64).tolist()}
-                    for k, place in zip(ask.tolist(), block.lookup(ask), strict=True)
-                    for o in place
-                    if block.keys[o - block.n_null] == k
-                ]
+                out = answers(row, ask)
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=FOUND)
 
     return spark.read.parquet(store).where(hold).mapInArrow(run, "doc_id bigint, shard int, block int, ids array<bigint>")
 
 
+def asked_blocks(spark: SparkSession, store: str, keys: DataFrame, key: str) -> DataFrame:
+    """(shard, block, asked): the distinct keys with every block whose key range holds them.
+
+    Blocks are in key order over the whole store. A key's last block is the one that begins last at
+    or before it, found by one sort of block heads and keys inside the shard (shards are found by
+    their lowest keys, one number per shard on the driver); a block before that one holds the key
+    only if it ends with it, which is an equi-join."""
+    heads = spark.read.parquet(store).where("first_key is not null").select("shard", "block", "first_key", "last_key")
+    lows = heads.groupBy("shard").agg(F.min("first_key").alias("low")).orderBy("shard").collect()
+    names, low = np.array([r["shard"] for r in lows], np.int32), np.array([r["low"] for r in lows], np.int64)
+    asked = keys.select(F.col(key).cast("bigint").alias("asked")).where("asked is not null").distinct()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(0).to_numpy()
+            at = np.searchsorted(low, k, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(names[at[at >= 0]]), pa.array(k[at >= 0])], names=["shard", "at"])
+
+    lined = heads.select("shard", F.col("first_key").alias("at"), "block", F.struct("block", "last_key").alias("head"))
+    lined = lined.unionByName(asked.mapInArrow(place, "shard int, at bigint"), allowMissingColumns=True)
+    order = W.partitionBy("shard").orderBy("at", F.col("block").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    met = lined.withColumn("begun", F.last("head", True).over(order)).where("head is null and begun.last_key >= at")
+    ended = heads.join(asked, F.col("last_key") == F.col("asked")).select("shard", "block", "asked")
+    return met.select("shard", "begun.block", F.col("at").alias("asked")).unionByName(ended).distinct()
+
+
+def lookup_table(spark: SparkSession, store: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, shard, block, ids) of the documents whose ids are in a table of any size. Each block
+    that may hold one is asked by its index, at most about ``KEYS_A_GROUP`` keys at a time; repeated
+    keys count once, null and absent ones find nothing."""
+    hits = stage(asked_blocks(spark, store, keys, key), "store-asked")
+    many = hits.groupBy("shard", "block").agg(F.ceil(F.count(F.lit(1)) / KEYS_A_GROUP).alias("parts"))
+    part = F.pmod(F.xxhash64("asked"), F.col("parts")).alias("part")
+    lists = hits.join(many, ["shard", "block"]).groupBy("shard", "block", part).agg(F.collect_list("asked").alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {k: v[0] for k, v in b.slice(i, 1).to_pydict().items()}
+                out = answers(row, np.array(row["asked"], np.int64))
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=FOUND)
+
+    # Stored, so that its size is known when the join with the blocks is planned.
+    blocks = spark.read.parquet(store).join(stage(lists.drop("part"), "store-lists"), ["shard", "block"])
+    return blocks.mapInArrow(run, "doc_id bigint, shard int, block int, ids array<bigint>")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_documents(spark, write_store(docs, stage_path(spark, "tokens")))

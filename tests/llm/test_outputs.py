@@ -76,6 +76,25 @@ def test_token_store_round_trip(spark, edge_docs, no_docs):
     assert T.read_documents(spark, T.write_store(no_docs, stage_path(spark, "test"))).count() == 0
 
 
+@pytest.mark.parametrize("group", [T.KEYS_A_GROUP, 3])
+def test_token_store_lookup_by_a_table(spark, no_docs, monkeypatch, group):
+    monkeypatch.setattr(T, "KEYS_A_GROUP", group)
+    rows = [(3 * i - 60, f"text number {i}") for i in range(300)] + [(90, f"hot {i}") for i in range(150)] + [(None, "no id")] * 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    store = T.write_store(df, stage_path(spark, "test"), shards=7, block_tokens=60)
+    asked = [None, 90, 90, *range(-70, 200), 836, 837, 838, 10**12, -(2**63), 2**63 - 1]
+    keys = spark.createDataFrame([(k, "x") for k in asked], "asked bigint, block string").repartition(3)
+    got = sorted((r["doc_id"], list(r["ids"])) for r in T.lookup_table(spark, store, keys, "asked").collect())
+    ids = encode([t for _, t in rows])
+    assert got == sorted((d, x) for (d, _), x in zip(rows, ids, strict=True) if d is not None and d in set(asked))
+    places = [(r["shard"], r["block"], r["asked"]) for r in T.asked_blocks(spark, store, keys, "asked").collect()]
+    heads = spark.read.parquet(store).where("first_key is not null").collect()
+    plain = [(h["shard"], h["block"], k) for h in heads for k in set(asked) - {None} if h["first_key"] <= k <= h["last_key"]]
+    assert sorted(places) == sorted(plain)
+    assert T.lookup_table(spark, store, keys.limit(0), "asked").count() == 0
+    assert T.lookup_table(spark, T.write_store(no_docs, stage_path(spark, "test")), keys, "asked").count() == 0
+
+
 @pytest.mark.parametrize("hot", [None, 50])
 def test_token_store_spreads_one_id(spark, hot):
     rows = [(i, f"text number {i}") for i in range(400)] + [(hot, "equal text")] * 200 + [(hot, f"hot {i}") for i in range(100)]
