@@ -46,6 +46,7 @@ from muniprop.llm.common import bounded, partitions, stage, stage_path, table
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 MAX_WORDS = 600_000  # words remembered by a worker's encoder
+PIECE = 1 << 20  # bytes of texts encoded at a time
 BLOCK_TOKENS = 1 << 20  # ids after which a block is closed (a longer document is a block)
 # FIXED VALUES: code points with the Unicode property White_Space.
 SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -60,8 +61,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Rows(dict):
     """Numbers words in order of first sight."""
 
+    def __init__(self, names: list[str] | None = None):
+        self.names = names or []
+        super().__init__(zip(self.names, range(len(self.names)), strict=True))
+
     def __missing__(self, word: str) -> int:
         self[word] = row = len(self)
+        self.names.append(word)
         return row
 
 
@@ -97,7 +103,7 @@ class Encoder:
 
     def learn(self, codes: np.ndarray) -> None:
         """Encode words met for the first time in this form."""
-        names = list(self.rows)
+        names = self.rows.names
         texts = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c in codes.tolist()]
         found = self.whole([t[1:] if t[0] == MARK else t for t in texts])
         sizes = np.fromiter(map(len, found), np.int32, len(found))
@@ -166,7 +172,7 @@ class Encoder:
             self.hits = np.concatenate([self.hits, np.zeros(n, np.int32)])
             self.start = np.concatenate([self.start, np.zeros(2 * n, np.int32)])
             self.size = np.concatenate([self.size, np.full(2 * n, -1, np.int32)])
-        for row, word in enumerate(islice(self.rows, self.seen, None), self.seen):
+        for row, word in enumerate(islice(self.rows.names, self.seen, None), self.seen):
             if row >= len(self.glued):
                 self.kind[row] = 1 if not word or not ODD_SET.isdisjoint(word) else 2 if word[-1] in PLAIN_END else 0
         self.seen = n
@@ -190,8 +196,8 @@ class Encoder:
         self.ids = np.concatenate([self.ids, np.zeros(1 << 16, self.type)])
         self.start, self.size = total[:-1].astype(np.int32), size
         self.kind, self.hits = self.kind[old], self.hits[old] // 2
-        names = [w for w, k in zip(self.rows, keep.tolist(), strict=True) if k]
-        self.rows = Rows(zip(names, range(len(names)), strict=True))
+        names = [w for w, k in zip(self.rows.names, keep.tolist(), strict=True) if k]
+        self.rows = Rows(names)
         self.seen = len(names)
 
 
@@ -353,7 +359,7 @@ def encode_rows(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int,
             met[name] = met.get(name, -1) + 1
             return (zlib.crc32(ids) + met[name]) % width
 
-        for b in bounded(batches, 1, 4 << 20):
+        for b in bounded(batches, 1, PIECE):
             raw = encoder.encode(b.column(1).to_pylist())
             none = b.column(0).is_null().to_numpy(zero_copy_only=False).tolist()
             key = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)

@@ -298,3 +298,14 @@ def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
         docs = step(spark, docs, str(tmp_path))
         assert docs.columns == table(spark, sf_dir, "documents").columns and docs.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoder_numbers_words_alike_after_it_forgets_some():
+    from muniprop.llm import token_store as T
+
+    encoder = T.Encoder(T.tokenizer_path(), max_words=40)
+    texts = [" ".join(f"w{i * j % 97}" for j in range(30)) for i in range(60)]
+    got = [r for t in texts for r in encoder.encode([t])]
+    assert encoder.rows.names == list(encoder.rows) and len(encoder.rows) <= 40 + 30
+    plain = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == [T.np.array([*ids, T.END_ID], encoder.type).tobytes() for ids in plain]
