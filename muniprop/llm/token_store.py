@@ -18,7 +18,8 @@ leaves no half shard). A lookup reads one pilot and one slot and checks the fing
 
 Encoding: words between single spaces and line breaks are encoded by the tokenizer once per
 Python worker and remembered (at ``MAX_WORDS`` the ones seen least are forgotten), because the
-pre-tokenizer always cuts before such a space, and between a letter or digit and punctuation;
+pre-tokenizer always cuts before such a space, and between a letter or digit and punctuation; words
+of letters only are one piece to it and go straight to the tokenizer's model;
 a text with any other white space is encoded whole. Results equal those of encoding each whole text (tested against it).
 
 Defined results: null and empty texts hold only the end id; null ids come first; repeated ids
@@ -29,7 +30,9 @@ whose bounds it fills, rows without id over leading shards of their own, in prop
 
 from __future__ import annotations
 
+import codecs
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -83,6 +86,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model if cuts_at_letters(self.tokenizer) else None
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         self.end_id, self.max_words = end_id, max_words
@@ -101,11 +105,25 @@ class Encoder:
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 16_384], add_special_tokens=False)]
         return out
 
+    def pieces(self, texts: list[str]) -> list[list[int]]:
+        """Ids of words of letters (with or without the space before them): the pre-tokenizer leaves
+        each in one piece, so the tokenizer's model takes them as they are."""
+        shown = codecs.charmap_decode("\n".join(texts).encode(), "strict", BYTE_CHARS)[0].split(BYTE_CHARS[0x0A]) if texts else []
+        return [[k.id for k in found] for found in map(self.model.tokenize, shown)]
+
     def learn(self, codes: np.ndarray) -> None:
         """Encode words met for the first time in this form."""
         names = self.rows.names
-        texts = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c in codes.tolist()]
-        found = self.whole([t[1:] if t[0] == MARK else t for t in texts])
+        listed = codes.tolist()
+        if self.model is None:
+            plain = [False] * len(listed)
+        else:
+            plain = [LETTERS.issuperset(names[c >> 1]) for c in listed]
+        one = self.pieces([names[c >> 1] if c & 1 else " " + names[c >> 1] for c, p in zip(listed, plain, strict=True) if p])
+        texts = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c, p in zip(listed, plain, strict=True) if not p]
+        rest = self.whole([t[1:] if t[0] == MARK else t for t in texts])
+        one, rest = iter(one), iter(rest)
+        found = [next(one) if p else next(rest) for p in plain]
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         total = int(sizes.sum())
         while self.used + total > len(self.ids):
@@ -217,6 +235,27 @@ ODD_SET = frozenset(SPACES + MARK)
 PLAIN_END = frozenset(c for c in map(chr, range(0x100)) if c.isascii() and c.isalnum() or c.isalpha())
 
 
+# Letters of every Unicode version since 3.2: runs of them are one piece to the pre-tokenizer.
+LETTERS = frozenset(c for c in map(chr, range(1 << 16)) if unicodedata.category(c)[0] == unicodedata.ucd_3_2_0.category(c)[0] == "L")
+# FIXED VALUES: the characters that stand for bytes in a byte-level vocabulary.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(0x100) if b not in _SHOWN]
+BYTE_CHARS = "".join(chr(b if b in _SHOWN else 0x100 + _OTHERS.index(b)) for b in range(0x100))
+
+
+def cuts_at_letters(tokenizer) -> bool:
+    """Whether a tokenizer is byte-level BPE that cuts texts into runs of letters and others, and does
+    nothing else before its model."""
+    from tokenizers import models, pre_tokenizers
+
+    before, model = tokenizer.pre_tokenizer, tokenizer.model
+    return (
+        tokenizer.normalizer is None
+        and isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space
+        and isinstance(model, models.BPE) and not model.dropout and not model.continuing_subword_prefix and not model.end_of_word_suffix
+    )
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixing of uint64 values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

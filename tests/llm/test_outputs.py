@@ -309,3 +309,20 @@ def test_encoder_numbers_words_alike_after_it_forgets_some():
     assert encoder.rows.names == list(encoder.rows) and len(encoder.rows) <= 40 + 30
     plain = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert got == [T.np.array([*ids, T.END_ID], encoder.type).tobytes() for ids in plain]
+
+
+def test_words_of_letters_equal_whole_texts():
+    """Words of letters go to the tokenizer's model, with the ids that the tokenizer gives them."""
+    encoder = T.Encoder(T.tokenizer_path())
+    asked = []
+    whole, encoder.whole = encoder.whole, lambda texts: asked.extend(texts) or whole(texts)
+    words = ["Überschrift", "été", "the", "Щука", "漢字", "ªº", "a", "ﬁn", "ÿ", "Ġ"] + ["".join(p) for p in zip("abcdefgh", "ÄÖÜßéñçø", strict=True)]
+    text = "\n".join([" ".join(words), " ".join(reversed(words)), "x2 don't ét ½ ²a"])
+    plain = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode([text]) == [T.np.array([*plain, T.END_ID], encoder.type).tobytes()]
+    assert asked and not {w.strip() for w in asked} & set(words)
+    everything = ["".join(c) for c in T.LETTERS]
+    singles = [e.ids for e in encoder.tokenizer.encode_batch_fast([" " + c for c in everything], add_special_tokens=False)]
+    assert encoder.pieces([" " + c for c in everything]) == singles
+    pairs = ["a" + c + "b" for c in everything]  # runs of letters are not cut
+    assert encoder.pieces(pairs) == [e.ids for e in encoder.tokenizer.encode_batch_fast(pairs, add_special_tokens=False)]
