@@ -326,3 +326,7 @@ def test_words_of_letters_equal_whole_texts():
     assert encoder.pieces([" " + c for c in everything]) == singles
     pairs = ["a" + c + "b" for c in everything]  # runs of letters are not cut
     assert encoder.pieces(pairs) == [e.ids for e in encoder.tokenizer.encode_batch_fast(pairs, add_special_tokens=False)]
+    ended = [w + t for w in ("word", "été", "漢", "x2", "") for t in ("!!", "###", ";", "'s", "…", ".,", "_", "<|", "-a", "!'s")]
+    text = " ".join(ended) + "\n" + "\n".join(ended)
+    ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode([text]) == [T.np.array([*ids, T.END_ID], encoder.type).tobytes()]
