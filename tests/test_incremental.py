@@ -193,3 +193,22 @@ def test_packages_read_the_table_for_their_facts_only(spark, sf_dir, tmp_path):
     assert read and all("/facts/" in f for f in read)
     kept = P.underwriting_package(props, "NATION 3", P.read_facts(spark, str(tmp_path / "facts")))
     assert [r[R.KEY] for r in kept.collect()] == ["nation 3"]
+
+
+def test_cells_that_hold_numbers_are_read_alike_in_one_pass(spark):
+    from muniprop.sources.sheet_columns import read_as, read_cells
+
+    cells = [None, "", " ", "12", " 12 ", " 12 ", "\t-7.9\n", "301.0", "1e3", "1e30", "NaN", " nan", "inf", "-Infinity", "12B", "1 2", "0x1", "5d"]
+    names = ["lat", "kommunenummer", "poststed"]
+    df = spark.createDataFrame([(i, c, c, c) for i, c in enumerate(cells)], "i int, lat string, kommunenummer string, poststed string")
+    want = df.select("i", *[read_as(n, F.col(n)).alias(n) for n in names])
+    got = read_cells(df, names).select("i", *names)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_build_makes_the_ownership_flag_once(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", "0001", "Oslo", sheet("Oslo", 5))
+    monkeypatch.setattr(PL, "with_ownership_flag", lambda raw: 1 / 0)  # the statistics take the stored flag
+    built = I.build_sources(spark, str(tmp_path / "in"), str(tmp_path / "table"))
+    assert [r["total_rows"] for r in built.state.collect()] == [5]
+    assert not [c for c in I.read_table(spark, str(tmp_path / "table")).columns if c.startswith("_")]
