@@ -148,6 +148,38 @@ def test_file_and_line_hashes(spark, tmp_path):
     assert b.exists()
 
 
+def test_files_of_any_size_are_hashed(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    mark, text = b"\xef\xbb\xbf", b"a,b\r\n1,\xff\xfe\n\n3,4\r\n" * 3000
+    texts = {"a b%20+\u00e6[1]{x}.csv": mark + text + b"end", "b.csv.gz": text, "no_dot": bytes(50_000), "lines": b"\n" * 40_001, "mark": mark * 2 + text, "exact": b"a" * 16_384, "small": b"hei"}
+    (tmp_path / "in").mkdir()
+    for name, content in texts.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    monkeypatch.setattr(H, "WHOLE_FILE", 1000)
+    at = str(tmp_path / "in")
+    files = spark.read.format("binaryFile").load([at, f"{at}/lines", f"{at}/small"])  # two are listed twice
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several splits a file
+    try:
+        hashes = H.file_hashes(files).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(n, len(texts[n]), hashlib.sha256(texts[n]).hexdigest()) for n in [*texts, "lines", "small"]]
+    assert sorted((os.path.basename(r["path"]), r["length"], r["sha256"]) for r in hashes) == sorted(want)
+    listed = files.select("path", "length", "modificationTime").collect()
+    assert sorted(map(str, listed)) == sorted(str(type(listed[0])(**{k: r[k] for k in ("path", "length", "modificationTime")})) for r in hashes)
+
+
+def test_a_build_holds_files_of_any_size(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", "0001", "Oslo", sheet("Oslo", 40))
+    put(tmp_path / "in", "0002", "Voss", sheet("Voss", 2))
+    monkeypatch.setattr(H, "WHOLE_FILE", 500)
+    for _ in range(2):  # the second finds nothing new
+        built = I.build_sources(spark, str(tmp_path / "in"), str(tmp_path / "table"))
+        assert {r["source"].split("_")[1]: r["total_rows"] for r in built.state.collect()} == {"Oslo": 40, "Voss": 2}
+    assert built.read is None and I.read_statistics(spark, str(tmp_path / "table")).where("sha256 is null").count() == 0
+
+
 def test_one_changed_row_changes_its_buckets_only(spark, sf_dir):
     table = fx.table(spark, sf_dir, "customer")
     old = H.bucket_digests(table)
