@@ -16,6 +16,7 @@ from muniprop.plans import pipeline as PL
 from muniprop.sources import hashing as H
 from muniprop.sources import incremental as I
 from muniprop.sources import properties as SP
+from muniprop.sources import sheets
 
 HEAD = ["Kommunenummer", "Gardsnummer", "Bruksnummer", "AlleEiere", "AlleEierforholdKodeIds", "AlleEierandeler", "Adressenavn", "Nummer"]
 
@@ -117,6 +118,30 @@ def test_cells_come_back_unchanged(spark, tmp_path):
     assert got[3]["extra"] == {"Ekstra felt": "e3"} and got[0]["status_absent"] and got[0]["kommunenummer"] == 301
 
 
+@pytest.mark.parametrize("block", [1, 1000, 1 << 20])
+def test_larger_sheets_are_read_block_by_block(spark, tmp_path, monkeypatch, block):
+    odd = ["line\nbreak", 'say ""x""', "comma, inside", "\r\nstart", "", "\n\n\n", "\r", "ø" * 3000]
+    rows = [f'301;1;2;"OSLO KOMMUNE";0;100.0%;"{odd[i % 7 if i != 50 else 7]}";{i};"e{i}"' for i in range(200)]
+    head = ";".join([*HEAD, '"Ekstra\nfelt"'])
+    put(tmp_path / "in", "0301", "Oslo", "\ufeff" + head + "\r\n" + "\r\n".join(rows) + "\r\n")
+    put(tmp_path / "in", "0302", "Bergen", head + "\n\n" + "\n\n".join(rows[:90]))
+    put(tmp_path / "in", "0303", "Tom", head + "\n")
+    monkeypatch.setattr(sheets, "BLOCK", block, raising=False)
+
+    def scanned():
+        return sorted(map(str, SP.scan_sources(spark, str(tmp_path / "in"), "csv", delimiter=";").collect()))
+
+    whole = scanned()
+    monkeypatch.setattr(sheets, "WHOLE_FILE", 50, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # no file may be read whole
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert scanned() == whole and len(whole) == 290
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("text", [",".join(HEAD) + "\n301,1,2\n", "Kommunenummer\n301\n"])
 def test_faulty_sheets_are_errors(spark, tmp_path, text):
     put(tmp_path / "in", "0301", "Oslo", text)
@@ -124,6 +149,27 @@ def test_faulty_sheets_are_errors(spark, tmp_path, text):
         SP.scan_sources(spark, str(tmp_path / "in"), "csv").count()
 
 
+def test_larger_faulty_sheets_are_errors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "WHOLE_FILE", 50, raising=False)
+    put(tmp_path / "in", "0301", "Oslo", sheet("Oslo", 20) + "301,1,2\n")
+    with pytest.raises(PythonException, match="Expected 8 columns, got 3"):
+        SP.scan_sources(spark, str(tmp_path / "in"), "csv").count()
+
+
+def test_larger_parquet_sheets_are_read_alike(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    base = {h: ["x"] * 3000 for h in HEAD} | {"AlleEiere": [f"Oslo kommune {i}" for i in range(3000)]}
+    for number, numbers in ((1, [str(i) for i in range(3000)]), (2, [i / 2 for i in range(3000)])):
+        pq.write_table(pa.table({**base, **dict.fromkeys(HEAD[:3], pa.array(numbers))}), tmp_path / "in" / f"000{number}_Oslo_Properties.parquet")
+    whole = sorted(map(str, SP.scan_sources(spark, str(tmp_path / "in")).collect()))
+    monkeypatch.setattr(sheets, "WHOLE_FILE", 50, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert sorted(map(str, SP.scan_sources(spark, str(tmp_path / "in")).collect())) == whole and len(whole) == 6000
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_parquet_sheets_whose_schemas_do_not_merge(spark, tmp_path):
     (tmp_path / "in").mkdir()
     base = {h: ["x"] for h in HEAD} | {"AlleEiere": ["Oslo kommune"], "AlleEierforholdKodeIds": ["0"], "AlleEierandeler": ["100%"]}
